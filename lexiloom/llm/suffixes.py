@@ -240,7 +240,8 @@ def sample_splitters(blocks: DataFrame, n: int) -> np.ndarray:
 
     if n < 2:
         return np.zeros(0, np.uint64)
-    some = blocks.orderBy(F.xxhash64("block")).limit(32).select("doc_ids", "offsets", "texts")
+    ids = [r[0] for r in blocks.select("block").orderBy(F.xxhash64("block")).limit(32).collect()]
+    some = blocks.where(F.col("block").isin(ids)).select("doc_ids", "offsets", "texts")
     keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[0], np.uint64) for r in some.mapInArrow(run, "keys binary").collect())]))
     return np.unique(keys[np.linspace(0, len(keys) - 1, n + 1).astype(int)[1:-1]]) if len(keys) else keys
 
@@ -280,8 +281,8 @@ def _block_rows(left: pd.DataFrame) -> list[dict]:
 
 
 def matched_units(blocks: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
-    """Rows (kind, bucket, block, payload). Kind 0: removed runs (begin, end) of a block; 1: windows of a
-    block to compare (hash, document id, begin); 2: the same by bucket, each hash with its first document."""
+    """Rows (kind, bucket, block, payload). Kind 0: removed runs (begin, end) of a block; 1: runs of windows
+    to compare (first, number); 2: the hashes of these by bucket, each with its first document."""
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -297,17 +298,16 @@ def matched_units(blocks: DataFrame, replies: DataFrame, buckets: int) -> DataFr
             at = np.minimum(np.searchsorted(key, have), len(key) - 1)
             hit = key[at] == have
             gone = hit & (mine[at] < doc)
-            out.append((0, -1, row["block"], packed(u["lo"][gone], u["hi"][gone] + WINDOW)))
+            out.append((0, -1, row["block"], packed(*runs_of(u["lo"][gone], u["hi"][gone] + WINDOW, False))))
             open_ = hit & (ask[at] > 0) & (mine[at] == doc)
             lo, n = u["lo"][open_], (u["hi"] - u["lo"])[open_] + 1
             if not n.sum():
                 continue
-            p = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            d = np.repeat(doc[open_], n)
-            w = np.concatenate([_window_hashes(data, p[x : x + STRIDE]) for x in range(0, len(p), STRIDE)])
+            o = np.argsort(lo)
+            out.append((1, -1, row["block"], packed(lo[o], n[o])))
+            w, d, _ = open_windows(ids, off, data, lo, n)
             o = multikey_order(w, d)
-            w, d, p = w[o], d[o], p[o]
-            out.append((1, -1, row["block"], packed(w, d, p)))
+            w, d = w[o], d[o]
             first = firsts(w)
             w, d = w[first], d[first]
             for b, x, y in cut_at(np.array([k * ((1 << 64) // buckets) for k in range(1, buckets)], np.uint64), w):
@@ -317,6 +317,13 @@ def matched_units(blocks: DataFrame, replies: DataFrame, buckets: int) -> DataFr
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(match, "kind int, bucket int, block long, payload binary")
 
 
+def open_windows(ids, off, data, lo, n) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document id and begin of the windows in runs of n from lo."""
+    p = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+    d = np.repeat(ids[np.searchsorted(off, lo, "right") - 1], n)
+    return np.concatenate([_window_hashes(data, p[x : x + STRIDE]) for x in range(0, len(p), STRIDE)]), d, p
+
+
 def _window_hashes(data: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Hashes of the WINDOW bytes at positions p, by powers of the base over the window."""
     up, _ = Powers.get(WINDOW)
@@ -347,14 +354,14 @@ def merged_windows(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(merge, "block long, payload binary")
 
 
-def runs_of(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of overlapping or touching spans."""
+def runs_of(begin: np.ndarray, end: np.ndarray, touching: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of overlapping, and if so asked touching, spans."""
     if not len(begin):
         return begin, end
     o = np.argsort(begin, kind="stable")
     begin, end = begin[o], np.maximum.accumulate(end[o])
     new = np.ones(len(begin), bool)
-    new[1:] = begin[1:] > end[:-1]
+    new[1:] = begin[1:] > end[:-1] if touching else begin[1:] >= end[:-1]
     return begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
@@ -367,13 +374,16 @@ def cut_texts(blocks: DataFrame, found: DataFrame, with_text: bool) -> DataFrame
         for row in _block_rows(left):
             ids, off, data = opened(row)
             spans = [np.stack(unpacked(p, np.int64, np.int64)) for p in right["payload"][right["kind"] == 0]]
-            pending = [unpacked(p, np.uint64, np.int64, np.int64) for p in right["payload"][right["kind"] == 1]]
+            pending = [unpacked(p, np.int64, np.int64) for p in right["payload"][right["kind"] == 1]]
             known = [unpacked(p, np.uint64, np.int64) for p in right["payload"][right["kind"] == 3]]
             if pending and known:
                 w, mine = (np.concatenate(x) for x in zip(*known, strict=True))
                 o = np.argsort(w)
                 w, mine = w[o], mine[o]
-                for have, d, p in pending:
+                for lo, n in pending:
+                    if not len(lo):
+                        continue
+                    have, d, p = open_windows(ids, off, data, lo, n)
                     at = np.minimum(np.searchsorted(w, have), len(w) - 1)
                     gone = (w[at] == have) & (mine[at] < d)
                     spans.append(np.stack([p[gone], p[gone] + WINDOW]))
@@ -406,7 +416,7 @@ def remove_repeats(df: DataFrame, with_text: bool = False) -> DataFrame:
     found = common.materialize(matched_units(blocks, replies, buckets), "suffix-found")
     common.discard(replies)
     common.free_shuffles(spark)
-    more = merged_windows(found.where("kind = 2").select("bucket", "block", "payload"))
-    found = common.materialize(found.where("kind < 2").select("kind", "block", "payload").unionByName(more.select(F.lit(3).alias("kind"), "block", "payload")), "suffix-spans")
+    more = common.materialize(merged_windows(found.where("kind = 2").select("bucket", "block", "payload")), "suffix-windows")
     common.free_shuffles(spark)
+    found = found.where("kind < 2").select("kind", "block", "payload").unionByName(more.select(F.lit(3).alias("kind"), "block", "payload"))
     return cut_texts(blocks, found, with_text)
