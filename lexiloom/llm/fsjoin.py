@@ -8,8 +8,8 @@ counted per fragment and summed per pair.
 
 Equal sets are one class from the start. Within a list of classes that share a prefix shingle, the
 most typical class is first compared with all others; classes that are then in one component need no
-further comparison, and all pairs across components are compared in the last round, so that no link
-between components is lost. Lists are streamed in sorted order and never gathered.
+further comparison, and all possible pairs across components are compared in a second round, so that
+no link between components is lost. Lists are streamed in sorted order and never gathered.
 
 Defined results: null or wordless texts have no shingles and their own id as component; ties and
 repeated rows fall into one class; other columns are ignored.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm import common
 
 WORDS, PERCENT = 5, 75
-CELLS, PARTS, FRAGMENTS = 1 << 20, 16, 4
+CELLS, PARTS, FRAGMENTS = 1 << 19, 16, 4
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -156,7 +156,8 @@ def pivots(mass: np.ndarray, n: int = FRAGMENTS) -> np.ndarray:
 
 
 def postings(df: DataFrame, level: np.ndarray) -> DataFrame:
-    """Rows (token, set_id, n, typical) of the prefix of every set. Equal rows of a batch are sent once."""
+    """Rows (token, set_id, n, place, typical) of the prefix of every set; place: how many of its shingles come
+    before the token. Equal rows of a batch are sent once."""
 
     def run(batches):
         s = Shingler()
@@ -171,29 +172,31 @@ def postings(df: DataFrame, level: np.ndarray) -> DataFrame:
                 set_id = common.mix64(total[first + n] - total[first] + n.astype(np.uint64)).view(np.int64)  # as in sets()
                 typical = np.bincount(d, (key >> np.uint64(56)).astype(float), part.num_rows) / np.maximum(1, n)
                 keep = n - (PERCENT * n + 99) // 100 + 1
-                pick = np.arange(len(d)) - first[d] < keep[d]
-                seen.append((key[pick].view(np.int64), set_id[d[pick]], n[d[pick]].astype(np.int32), (typical[d[pick]] * 256).astype(np.int32)))
+                place = np.arange(len(d)) - first[d]
+                pick = place < keep[d]
+                seen.append((key[pick].view(np.int64), set_id[d[pick]], n[d[pick]].astype(np.int32), place[pick].astype(np.int32), (typical[d[pick]] * 256).astype(np.int32)))
             if not seen:
                 continue
-            token, set_ids, n, typical = (np.concatenate(x) for x in zip(*seen, strict=True))
+            token, set_ids, n, place, typical = (np.concatenate(x) for x in zip(*seen, strict=True))
             order = np.lexsort((set_ids, token))
             new = np.ones(len(order), bool)
             new[1:] = (np.diff(token[order]) != 0) | (np.diff(set_ids[order]) != 0)
             order = order[new]
             for a in range(0, len(order), 100_000):
                 some = order[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (token, set_ids, n, typical)], ["token", "set_id", "n", "typical"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (token, set_ids, n, place, typical)], ["token", "set_id", "n", "place", "typical"])
 
-    return df.select("text").mapInArrow(run, "token long, set_id long, n int, typical int")
+    return df.select("text").mapInArrow(run, "token long, set_id long, n int, place int, typical int")
 
 
 def shared(table: DataFrame) -> DataFrame:
-    """Rows (token, lead, n_lead, set_id, n): every class of a list but its most typical, with that one."""
+    """Rows (token, lead, n_lead, place_lead, set_id, n, place): every class of a list but its most typical, with that one."""
+    names = ("set_id", "n", "place")
 
     def run(batches):
-        token = lead = n_lead = last = None
+        token, last, held = None, 0, (0, 0, 0)
         for batch in batches:
-            t, s, n = (batch.column(c).to_numpy() for c in ("token", "set_id", "n"))
+            t, *own = (batch.column(c).to_numpy() for c in ("token", *names))
             if not len(t):
                 continue
             first = np.ones(len(t), bool)
@@ -201,16 +204,15 @@ def shared(table: DataFrame) -> DataFrame:
             if token is not None and t[0] == token:
                 first[0] = False
             at = np.maximum.accumulate(np.where(first, np.arange(len(t)), -1))
-            known = at >= 0
-            leads = np.where(known, s[at], lead if lead is not None else 0)
-            sizes = np.where(known, n[at], n_lead if n_lead is not None else 0)
-            before = np.concatenate([[last if last is not None else 0], s[:-1]])
-            keep = (s != leads) & (first | (s != before))
-            token, lead, n_lead, last = t[-1], leads[-1], sizes[-1], s[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (t, leads, sizes.astype(np.int32), s, n)], ["token", "lead", "n_lead", "set_id", "n"])
+            lead = [np.where(at >= 0, x[at], h).astype(x.dtype) for x, h in zip(own, held, strict=True)]
+            s = own[0]
+            before = np.concatenate([[last], s[:-1]])
+            keep = (s != lead[0]) & (first | (s != before))
+            token, last, held = t[-1], s[-1], tuple(x[-1] for x in lead)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (t, *lead, *own)], ["token", "lead", "n_lead", "place_lead", *names])
 
     rows = table.repartition("token").sortWithinPartitions("token", F.desc("typical"), "set_id")
-    return rows.select("token", "set_id", "n").mapInArrow(run, "token long, lead long, n_lead int, set_id long, n int")
+    return rows.select("token", *names).mapInArrow(run, "token long, lead long, n_lead int, place_lead int, set_id long, n int, place int")
 
 
 def segments(df: DataFrame, level: np.ndarray, cuts: np.ndarray) -> DataFrame:
@@ -238,10 +240,18 @@ def linked(pairs: DataFrame, cut: DataFrame) -> DataFrame:
     return total.where(100 * F.col("both") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
+def _possible():
+    """Whether a pair can link, by sizes and by what comes after a shared shingle. Holds for a linked pair at
+    the first shingle that it shares, as all it shares stands from there on."""
+    total = F.col("n_a") + F.col("n_b")
+    rest = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    return (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & ((100 + PERCENT) * rest >= PERCENT * total)
+
+
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) that pass the length filter."""
+    """Distinct pairs (a < b) of rows (a, b, n_a, n_b, place_a, place_b) that can link."""
     swap = F.col("a") > F.col("b")
-    rows = rows.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    rows = rows.where(_possible())
     return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")).distinct()
 
 
@@ -251,39 +261,40 @@ def join(df: DataFrame) -> DataFrame:
     common.prepare(spark)
     rows = common.materialize(sets(df), "fs-sets")
     level, mass = sketch_levels(rows)
-    docs = rows.where("part is null").select("doc_id", "n_shingles", "set_id")
+    cuts = pivots(mass)
+    docs = common.materialize(rows.where("part is null").select("doc_id", "n_shingles", "set_id"), "fs-docs")
+    common.discard(rows)
     classes = common.materialize(docs.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "fs-classes")
     lists = common.materialize(shared(postings(df, level)), "fs-lists")
     common.free_shuffles(spark)
-    wanted = lists.select(F.explode(F.array("lead", "set_id")).alias("set_id")).distinct().join(classes, "set_id")
-    texts = df.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id"), "set_id"), "doc_id").dropDuplicates(["set_id"]) if _repeats(docs) else df.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id"), "set_id"), "doc_id")
-    cut = common.materialize(segments(texts, level, pivots(mass)), "fs-segments")
-    common.free_shuffles(spark)
 
-    def groups(links: DataFrame) -> DataFrame:
-        return common.materialize(common.components(links.select(*(F.col(c) for c in "ab"))), "fs-groups")
-
-    tried = common.materialize(_candidates(lists.select(F.col("lead").alias("a"), F.col("set_id").alias("b"), F.col("n_lead").alias("n_a"), F.col("n").alias("n_b"))), "fs-pairs")
-    links = common.materialize(linked(tried, cut), "fs-links")
-    members = lists.select("token", "set_id", "n").unionByName(lists.select("token", F.col("lead").alias("set_id"), F.col("n_lead").alias("n"))).distinct()
-    for hubs in (True, False):
-        group = groups(links).withColumnRenamed("vertex", "set_id")
-        here = members.join(group, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        if hubs:  # the class with most links so far leads each list that still spans components
-            degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("degree"))
-            here = here.join(degree, "set_id", "left")
-            top = here.groupBy("token").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "set_id", "n", "component")).alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-            more = here.join(top.select("token", F.col("top.set_id").alias("b"), F.col("top.n").alias("n_b"), F.col("top.component").alias("other")), "token").where("component <> other").select(F.col("set_id").alias("a"), "b", F.col("n").alias("n_a"), "n_b")
-        else:
-            here = common.materialize(here, "fs-members")
-            split = here.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-            here = common.materialize(here.join(split, "token"), "fs-open")
-            other = here.select("token", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("other"))
-            near = (F.col("component") < F.col("other")) & (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b"))
-            more = here.join(other, ["token"]).where(near).select(F.col("set_id").alias("a"), "b", F.col("n").alias("n_a"), "n_b")
-        more = common.materialize(_candidates(more).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "fs-pairs")
-        links = common.materialize(links.unionByName(linked(more, cut)), "fs-links")
-        tried = tried.unionByName(more)
+    def cut(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        """Segments of the sets in pairs, with those already known."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        if known is not None:
+            wanted = wanted.join(known.select("set_id").distinct(), "set_id", "left_anti")
+        wanted = common.materialize(wanted.join(classes, "set_id").select(F.col("rep").alias("doc_id"), "set_id"), "fs-wanted")
+        texts = df.select("doc_id", "text").join(wanted, "doc_id")
+        if known is not None and wanted.isEmpty():
+            return known
+        more = segments(texts, level, cuts).dropDuplicates(["set_id", "fragment"]) if _repeats(docs) else segments(texts, level, cuts)
+        more = common.materialize(more, "fs-segments")
+        common.free_shuffles(spark)
+        return more if known is None else known.unionByName(more)
+
+    tried = common.materialize(_candidates(lists.select(F.col("lead").alias("a"), F.col("set_id").alias("b"), F.col("n_lead").alias("n_a"), F.col("n").alias("n_b"), F.col("place_lead").alias("place_a"), F.col("place").alias("place_b"))), "fs-pairs")
+    known = cut(tried, None)
+    links = common.materialize(linked(tried, known), "fs-links")
+    group = common.materialize(common.components(links), "fs-groups").withColumnRenamed("vertex", "set_id")
+    members = lists.select("token", "set_id", "n", "place").unionByName(lists.select("token", F.col("lead").alias("set_id"), F.col("n_lead").alias("n"), F.col("place_lead").alias("place"))).distinct()
+    members = common.materialize(members.join(group, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "fs-members")
+    split = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    members = common.materialize(members.join(split, "token"), "fs-open")
+    left = members.select("token", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), "component")
+    right = members.select("token", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("other"))
+    more = _candidates(left.join(right, (left["token"] == right["token"]) & (F.col("component") < F.col("other")) & _possible()).drop("token"))
+    more = common.materialize(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "fs-pairs")
+    links = common.materialize(links.unionByName(linked(more, cut(more, known))), "fs-links")
     rep = lambda c: classes.select(F.col("set_id").alias(c), F.col("rep").alias(f"rep_{c}"))
     edges = links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     group = common.materialize(common.components(edges), "fs-groups").select(F.col("vertex").alias("rep"), "component")
