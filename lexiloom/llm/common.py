@@ -62,9 +62,12 @@ def discard(*tables: DataFrame) -> None:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are no longer referenced."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner works in the background
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_buffer(col) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +129,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(now)
         now = after
-        free_shuffles(spark)
         if seen == state or not seen[0]:
             break
         state = seen

@@ -3,7 +3,7 @@
 A byte goes if a WINDOW-byte string that covers it also starts in a document with a smaller doc_id.
 Sorting every suffix with the bytes that decide would move some fifty times the text. So suffixes are
 taken only at anchors: in each window the GRAM-byte string with the least hash (the leftmost, if
-several). Equal windows choose equal anchors, so every repeat meets at one; an anchor comes every 13
+several). Equal windows choose equal anchors, so every repeat meets at one; an anchor comes every 16
 bytes or so. Its windows in a document are consecutive, and together form a unit.
 
 1. Suffixes at anchors, as leading bytes and fingerprint, and their units are sorted by blocks
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import common
 
-WINDOW, GRAM = 50, 25
+WINDOW, GRAM = 50, 20
 SPAN = WINDOW - GRAM + 1
 BLOCK_BYTES, STRIDE, BUCKET_ROWS = 4_000_000, 1_000_000, 600_000
 NO_DOC = 2**63 - 1
@@ -104,7 +104,7 @@ def anchors(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         a = anchor[lo]
         lead = d[a].astype(np.uint64) << np.uint64(56) | d[a + 1].astype(np.uint64) << np.uint64(48)
         suffix = lead | h(a, a + GRAM) >> np.uint64(16)
-        unit = common.mix64(h(lo, hi + WINDOW) + (a - lo).astype(np.uint64))
+        unit = common.mix64(h(lo, hi + WINDOW) + (a - lo).astype(np.uint64)) >> np.uint64(16)  # of one suffix, 48 bits do
         out.append((doc[lo], lo + begin, hi + begin, suffix, unit))
     names = ("doc", "lo", "hi", "suffix", "unit")
     if not out:
@@ -145,6 +145,10 @@ def packed(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(len(arrays[0]).to_bytes(8, "little") + b"".join(parts))
 
 
+def split48(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint16)
+
+
 def unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
     import zstandard
 
@@ -223,7 +227,7 @@ def suffix_rows(blocks: DataFrame, splitters: np.ndarray) -> DataFrame:
                 several = (doc[last] != doc[start]).astype(np.uint8)
                 s, t, d = u["suffix"][start], u["unit"][start], doc[start]
                 cuts = cut_at(splitters, s)
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in cuts], pa.int32()), pa.array([row["block"]] * len(cuts), pa.int64()), pa.array([packed(s[x:y], t[x:y], d[x:y], several[x:y]) for _, x, y in cuts], pa.binary())], ["bucket", "block", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in cuts], pa.int32()), pa.array([row["block"]] * len(cuts), pa.int64()), pa.array([packed(s[x:y], *split48(t[x:y]), d[x:y], several[x:y]) for _, x, y in cuts], pa.binary())], ["bucket", "block", "payload"])
 
     return blocks.mapInArrow(run, "bucket int, block long, payload binary")
 
@@ -250,9 +254,10 @@ def merged_suffixes(rows: DataFrame) -> DataFrame:
     """Rows (block, payload): the units that matter to a block, each with its first document of all."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpacked(p, np.uint64, np.uint64, np.int64, np.uint8) for p in pdf["payload"]]
+        parts = [unpacked(p, np.uint64, np.uint32, np.uint16, np.int64, np.uint8) for p in pdf["payload"]]
         owner = np.repeat(pdf["block"].to_numpy(), [len(p[0]) for p in parts])
-        s, t, d, several = (np.concatenate(x) for x in zip(*parts, strict=True))
+        s, low, high, d, several = (np.concatenate(x) for x in zip(*parts, strict=True))
+        t = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
         order = multikey_order(s, t, d)
         s, t, d, several, owner = s[order], t[order], d[order], several[order], owner[order]
         unit = firsts(s, t)
