@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm import common
 
 WORDS, PERCENT = 5, 75
-CELLS, PARTS, FRAGMENTS = 1 << 19, 16, 4
+CELLS, PARTS, FRAGMENTS, BITS = 1 << 19, 16, 4, 1 << 24
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -102,6 +102,13 @@ def order_key(h: np.ndarray, level: np.ndarray) -> np.ndarray:
     return level[(h & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
 
 
+def set_ids(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The id of each set of n keys in turn: a hash of the hashes without the level, in any order."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(common.mix64(key & np.uint64((1 << 56) - 1)))])
+    end = np.cumsum(n)
+    return common.mix64(total[end] - total[end - n] + n.astype(np.uint64)).view(np.int64)
+
+
 def sets(df: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, set_id) and, with `part` set, rows of the counting sketch."""
 
@@ -114,9 +121,7 @@ def sets(df: DataFrame) -> DataFrame:
                 if len(h) <= CELLS // 16:
                     np.add.at(cells, (h & np.uint64(CELLS - 1)).astype(np.int64), 1)
                 n = np.bincount(d, minlength=part.num_rows)
-                total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(common.mix64(h >> np.uint64(8)))])
-                end = np.cumsum(n)
-                set_id = common.mix64(total[end] - total[end - n] + n.astype(np.uint64)).view(np.int64)
+                set_id = set_ids(h >> np.uint64(8), n)
                 none = pa.nulls(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(set_id), none.cast(pa.int32()), none.cast(pa.binary())], names)
         size = CELLS // PARTS
@@ -168,8 +173,7 @@ def postings(df: DataFrame, level: np.ndarray) -> DataFrame:
                 d, key = s.distinct(data, off, level)
                 n = np.bincount(d, minlength=part.num_rows)
                 first = np.cumsum(n) - n
-                total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(common.mix64(key & np.uint64((1 << 56) - 1)))])
-                set_id = common.mix64(total[first + n] - total[first] + n.astype(np.uint64)).view(np.int64)  # as in sets()
+                set_id = set_ids(key, n)
                 typical = np.bincount(d, (key >> np.uint64(56)).astype(float), part.num_rows) / np.maximum(1, n)
                 keep = n - (PERCENT * n + 99) // 100 + 1
                 place = np.arange(len(d)) - first[d]
@@ -215,20 +219,50 @@ def shared(table: DataFrame) -> DataFrame:
     return rows.select("token", *names).mapInArrow(run, "token long, lead long, n_lead int, place_lead int, set_id long, n int, place int")
 
 
-def segments(df: DataFrame, level: np.ndarray, cuts: np.ndarray) -> DataFrame:
-    """Rows (set_id, fragment, keys): each set of df (set_id, text) cut at the pivots."""
+def bits_of(ids: np.ndarray) -> np.ndarray:
+    """Two bit numbers of each id."""
+    h = common.mix64(ids.view(np.uint64))
+    return np.stack([h & np.uint64(BITS - 1), h >> np.uint64(32) & np.uint64(BITS - 1)]).astype(np.int64)
+
+
+def bloom(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of BITS bits over doc_id: fixed size, whatever the number of ids. It only spares rows."""
 
     def run(batches):
-        s = Shingler()
+        bits = np.zeros(BITS, bool)
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            bits[bits_of(batch.column("doc_id").to_numpy()).ravel()] = True
+        yield pa.RecordBatch.from_arrays([common.binary([np.packbits(bits)])], ["bits"])
+
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in wanted.select("doc_id").repartition(8).mapInArrow(run, "bits binary").collect():
+        out |= np.frombuffer(r[0], np.uint8)
+    return out
+
+
+def segments(df: DataFrame, wanted: DataFrame, level: np.ndarray, cuts: np.ndarray) -> DataFrame:
+    """Rows (set_id, fragment, keys): the sets of the wanted documents (doc_id, set_id), cut at the pivots. Texts
+    stay where they are read; only the sets of documents that pass the Bloom filter meet the wanted ids."""
+    packed = bloom(wanted)
+
+    def run(batches):
+        s, bits = Shingler(), np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = np.flatnonzero(bits[bits_of(ids)].all(0) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
+            if not len(rows):
+                continue
+            for part in common.slices(batch.take(pa.array(rows)), "text"):
                 d, key = s.distinct(*common.text_buffer(part.column("text")), level)
+                n = np.bincount(d, minlength=part.num_rows)
+                set_id = set_ids(key, n)
                 place = d * (len(cuts) + 1) + np.searchsorted(cuts, key, "right")
                 cell, first = np.unique(place, return_index=True)
                 values = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("set_id").take(pa.array(cell // (len(cuts) + 1))), pa.array((cell % (len(cuts) + 1)).astype(np.int32)), values], ["set_id", "fragment", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(cell // (len(cuts) + 1))), pa.array(set_id[cell // (len(cuts) + 1)]), pa.array((cell % (len(cuts) + 1)).astype(np.int32)), values], ["doc_id", "set_id", "fragment", "keys"])
 
-    return df.select("set_id", "text").mapInArrow(run, "set_id long, fragment int, keys array<long>")
+    cut = df.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id long, fragment int, keys array<long>")
+    return cut.join(wanted, ["doc_id", "set_id"]).select("set_id", "fragment", "keys")
 
 
 def linked(pairs: DataFrame, cut: DataFrame) -> DataFrame:
@@ -268,16 +302,19 @@ def join(df: DataFrame) -> DataFrame:
     lists = common.materialize(shared(postings(df, level)), "fs-lists")
     common.free_shuffles(spark)
 
+    repeats = _repeats(docs)
+
     def cut(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
         """Segments of the sets in pairs, with those already known."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         if known is not None:
             wanted = wanted.join(known.select("set_id").distinct(), "set_id", "left_anti")
         wanted = common.materialize(wanted.join(classes, "set_id").select(F.col("rep").alias("doc_id"), "set_id"), "fs-wanted")
-        texts = df.select("doc_id", "text").join(wanted, "doc_id")
         if known is not None and wanted.isEmpty():
             return known
-        more = segments(texts, level, cuts).dropDuplicates(["set_id", "fragment"]) if _repeats(docs) else segments(texts, level, cuts)
+        more = segments(df, wanted, level, cuts)
+        if repeats:
+            more = more.dropDuplicates(["set_id", "fragment"])
         more = common.materialize(more, "fs-segments")
         common.free_shuffles(spark)
         return more if known is None else known.unionByName(more)

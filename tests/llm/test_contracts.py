@@ -291,3 +291,9 @@ def test_pipeline_stages(spark, tmp_path):
     assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 0
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, str(tmp_path)).columns == df.columns, name
+
+
+def test_shingle_join_repeated_ids_with_other_texts(spark):
+    a, b = (plain.prose(random.Random(i), 60) for i in (1, 2))
+    out = fsjoin.join(frame(spark, [(1, a), (1, b), (2, a + " tail"), (3, b + " tail")])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(1, 1), (1, 1), (2, 1), (3, 1)]
