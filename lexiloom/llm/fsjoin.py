@@ -102,7 +102,7 @@ def order_key(h: np.ndarray, level: np.ndarray) -> np.ndarray:
     return level[(h & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
 
 
-def set_ids(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+def ids_of_sets(key: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The id of each set of n keys in turn: a hash of the hashes without the level, in any order."""
     total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(common.mix64(key & np.uint64((1 << 56) - 1)))])
     end = np.cumsum(n)
@@ -121,7 +121,7 @@ def sets(df: DataFrame) -> DataFrame:
                 if len(h) <= CELLS // 16:
                     np.add.at(cells, (h & np.uint64(CELLS - 1)).astype(np.int64), 1)
                 n = np.bincount(d, minlength=part.num_rows)
-                set_id = set_ids(h >> np.uint64(8), n)
+                set_id = ids_of_sets(h >> np.uint64(8), n)
                 none = pa.nulls(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(set_id), none.cast(pa.int32()), none.cast(pa.binary())], names)
         size = CELLS // PARTS
@@ -173,7 +173,7 @@ def postings(df: DataFrame, level: np.ndarray) -> DataFrame:
                 d, key = s.distinct(data, off, level)
                 n = np.bincount(d, minlength=part.num_rows)
                 first = np.cumsum(n) - n
-                set_id = set_ids(key, n)
+                set_id = ids_of_sets(key, n)
                 typical = np.bincount(d, (key >> np.uint64(56)).astype(float), part.num_rows) / np.maximum(1, n)
                 keep = n - (PERCENT * n + 99) // 100 + 1
                 place = np.arange(len(d)) - first[d]
@@ -255,7 +255,7 @@ def segments(df: DataFrame, wanted: DataFrame, level: np.ndarray, cuts: np.ndarr
             for part in common.slices(batch.take(pa.array(rows)), "text"):
                 d, key = s.distinct(*common.text_buffer(part.column("text")), level)
                 n = np.bincount(d, minlength=part.num_rows)
-                set_id = set_ids(key, n)
+                set_id = ids_of_sets(key, n)
                 place = d * (len(cuts) + 1) + np.searchsorted(cuts, key, "right")
                 cell, first = np.unique(place, return_index=True)
                 values = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(key.view(np.int64)))
