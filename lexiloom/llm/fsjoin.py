@@ -9,7 +9,9 @@ counted per fragment and summed per pair.
 Equal sets are one class from the start. Within a list of classes that share a prefix shingle, the
 most typical class is first compared with all others; classes that are then in one component need no
 further comparison, and all possible pairs across components are compared in a second round, so that
-no link between components is lost. Lists are streamed in sorted order and never gathered.
+no link between components is lost. There the number of shared prefix shingles bounds the overlap, so
+pairs that only share a passage go before their sets are cut. Lists are streamed in sorted order and
+never gathered.
 
 Defined results: null or wordless texts have no shingles and their own id as component; ties and
 repeated rows fall into one class; other columns are ignored.
@@ -240,10 +242,10 @@ def bloom(wanted: DataFrame) -> np.ndarray:
     return out
 
 
-def segments(df: DataFrame, wanted: DataFrame, level: np.ndarray, cuts: np.ndarray) -> DataFrame:
-    """Rows (set_id, fragment, keys): the sets of the wanted documents (doc_id, set_id), cut at the pivots. Texts
-    stay where they are read; only the sets of documents that pass the Bloom filter meet the wanted ids."""
-    packed = bloom(wanted)
+def segments(df: DataFrame, pairs: DataFrame, level: np.ndarray, cuts: np.ndarray) -> DataFrame:
+    """Rows (doc_id, set_id, fragment, keys): the sets of the documents in pairs (rep_a, rep_b), cut at the pivots.
+    Texts stay where they are read; documents that only pass the Bloom filter by chance meet no pair later."""
+    packed = bloom(pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("doc_id")))
 
     def run(batches):
         s, bits = Shingler(), np.unpackbits(packed).astype(bool)
@@ -261,32 +263,50 @@ def segments(df: DataFrame, wanted: DataFrame, level: np.ndarray, cuts: np.ndarr
                 values = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(key.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(cell // (len(cuts) + 1))), pa.array(set_id[cell // (len(cuts) + 1)]), pa.array((cell % (len(cuts) + 1)).astype(np.int32)), values], ["doc_id", "set_id", "fragment", "keys"])
 
-    cut = df.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id long, fragment int, keys array<long>")
-    return cut.join(wanted, ["doc_id", "set_id"]).select("set_id", "fragment", "keys")
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id long, fragment int, keys array<long>")
 
 
 def linked(pairs: DataFrame, cut: DataFrame) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) whose overlaps, counted per fragment and summed, reach the threshold."""
-    left = cut.select(F.col("set_id").alias("a"), "fragment", F.col("keys").alias("x"))
-    right = cut.select(F.col("set_id").alias("b"), "fragment", F.col("keys").alias("y"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("both"))
+    """The pairs (a, b, n_a, n_b, rep_a, rep_b) whose overlaps, counted per fragment and summed, reach the threshold.
+    Both joins have the same keys, so that the segments are shuffled once."""
+    side = lambda c, keys: cut.select(F.col("doc_id").alias(f"rep_{c}"), F.col("set_id").alias(c), "fragment", F.col("keys").alias(keys))
+    parts = pairs.withColumn("fragment", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))))
+    met = parts.join(side("a", "x"), ["rep_a", "a", "fragment"]).join(side("b", "y"), ["rep_b", "b", "fragment"])
+    partial = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("both"))
     total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
     return total.where(100 * F.col("both") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
-def _possible():
-    """Whether a pair can link, by sizes and by what comes after a shared shingle. Holds for a linked pair at
-    the first shingle that it shares, as all it shares stands from there on."""
-    total = F.col("n_a") + F.col("n_b")
+def _sizes():
+    return 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+
+
+def _places():
+    """Whether a pair can link by what comes after a shared shingle. Holds for a linked pair at the first
+    shingle that it shares, as all it shares stands from there on."""
     rest = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    return (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & ((100 + PERCENT) * rest >= PERCENT * total)
+    return (100 + PERCENT) * rest >= PERCENT * (F.col("n_a") + F.col("n_b"))
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of rows (a, b, n_a, n_b, place_a, place_b) that can link."""
+def _ordered(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows (a, b, n_a, n_b, *more) with a < b."""
     swap = F.col("a") > F.col("b")
-    rows = rows.where(_possible())
-    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")).distinct()
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"), *more)
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of rows (a, b, n_a, n_b, place_a, place_b) that can link."""
+    return _ordered(rows.where(_sizes() & _places())).distinct()
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) that can link, of one row (a, b, n_a, n_b, place_a, place_b) for each shingle that
+    stands in both prefixes. A shared shingle that does not do so stands behind the prefix of the set whose prefix
+    ends first; so the overlap is at most the number of rows and what is behind the longer of the two."""
+    seen = _ordered(rows.where(_sizes()).withColumn("fits", _places()), "fits")
+    seen = seen.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"), F.max("fits").alias("fits"))
+    behind = F.ceil(PERCENT * F.greatest("n_a", "n_b") / 100) - 1
+    return seen.where(F.col("fits") & ((100 + PERCENT) * (F.col("both") + behind) >= PERCENT * (F.col("n_a") + F.col("n_b")))).select("a", "b", "n_a", "n_b")
 
 
 def join(df: DataFrame) -> DataFrame:
@@ -304,35 +324,32 @@ def join(df: DataFrame) -> DataFrame:
 
     repeats = _repeats(docs)
 
-    def cut(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        """Segments of the sets in pairs, with those already known."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        if known is not None:
-            wanted = wanted.join(known.select("set_id").distinct(), "set_id", "left_anti")
-        wanted = common.materialize(wanted.join(classes, "set_id").select(F.col("rep").alias("doc_id"), "set_id"), "fs-wanted")
-        if known is not None and wanted.isEmpty():
-            return known
-        more = segments(df, wanted, level, cuts)
+    rep = lambda c: classes.select(F.col("set_id").alias(c), F.col("rep").alias(f"rep_{c}"))
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        pairs = common.materialize(pairs.join(rep("a"), "a").join(rep("b"), "b"), "fs-pairs")
+        cut = segments(df, pairs, level, cuts)
         if repeats:
-            more = more.dropDuplicates(["set_id", "fragment"])
-        more = common.materialize(more, "fs-segments")
-        common.free_shuffles(spark)
-        return more if known is None else known.unionByName(more)
-
-    tried = common.materialize(_candidates(lists.select(F.col("lead").alias("a"), F.col("set_id").alias("b"), F.col("n_lead").alias("n_a"), F.col("n").alias("n_b"), F.col("place_lead").alias("place_a"), F.col("place").alias("place_b"))), "fs-pairs")
-    known = cut(tried, None)
-    links = common.materialize(linked(tried, known), "fs-links")
+            cut = cut.dropDuplicates(["doc_id", "set_id", "fragment"])
+        cut = common.materialize(cut, "fs-segments")
+        found = common.materialize(linked(pairs, cut), "fs-links")
+        common.discard(cut, pairs)
+        return found
+
+    tried = common.materialize(_led(lists.select(F.col("lead").alias("a"), F.col("set_id").alias("b"), F.col("n_lead").alias("n_a"), F.col("n").alias("n_b"), F.col("place_lead").alias("place_a"), F.col("place").alias("place_b"))), "fs-tried")
+    links = compare(tried)
+    common.free_shuffles(spark)
     group = common.materialize(common.components(links), "fs-groups").withColumnRenamed("vertex", "set_id")
     members = lists.select("token", "set_id", "n", "place").unionByName(lists.select("token", F.col("lead").alias("set_id"), F.col("n_lead").alias("n"), F.col("place_lead").alias("place"))).distinct()
     members = common.materialize(members.join(group, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "fs-members")
+    common.discard(lists)
     split = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     members = common.materialize(members.join(split, "token"), "fs-open")
     left = members.select("token", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), "component")
     right = members.select("token", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("other"))
-    more = _candidates(left.join(right, (left["token"] == right["token"]) & (F.col("component") < F.col("other")) & _possible()).drop("token"))
-    more = common.materialize(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "fs-pairs")
-    links = common.materialize(links.unionByName(linked(more, cut(more, known))), "fs-links")
-    rep = lambda c: classes.select(F.col("set_id").alias(c), F.col("rep").alias(f"rep_{c}"))
+    more = _counted(left.join(right, (left["token"] == right["token"]) & (F.col("component") < F.col("other")) & _sizes()).drop("token"))
+    more = more.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    links = links.unionByName(compare(more))
     edges = links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     group = common.materialize(common.components(edges), "fs-groups").select(F.col("vertex").alias("rep"), "component")
     named = common.materialize(classes.join(group, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component")), "fs-named")
