@@ -24,6 +24,8 @@ from lexiloom.llm import common
 
 CODE_BITS, QUERY_BITS, EPSILON = 128, 4, 3.5
 ROWS, QUERIES = 8192, 1024
+#: The bound's floor comes from the exact products of the FEW * k best estimates of a block.
+FEW = 4
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -39,16 +41,21 @@ def pack(bits: np.ndarray) -> np.ndarray:
 
 
 class Codes:
-    """Codes of a block of vectors and estimates of their products with a query."""
+    """Codes of a block of vectors, a row for each word of them, and estimates of their products with a query."""
 
     def __init__(self, x: np.ndarray, turn: np.ndarray):
         self.turn, self.wide = turn, turn.shape[1]
-        self.norm = np.linalg.norm(x, axis=1)
-        y = (x / self.norm[:, None]) @ turn
-        self.code = pack(y > 0)
-        self.ones = np.bitwise_count(self.code).sum(1).astype(np.int64)
-        self.align = np.abs(y).sum(1) / np.sqrt(self.wide)
-        self.spread = self.norm * np.sqrt(np.maximum(0.0, 1 - self.align**2)) / self.align / np.sqrt(self.wide - 1)
+        norm = np.linalg.norm(x, axis=1)
+        y = (x / norm[:, None]) @ turn
+        code = pack(y > 0)
+        self.code = np.ascontiguousarray(code.T)
+        self.ones = np.bitwise_count(code).sum(1).astype(np.float64)
+        align = np.abs(y).sum(1) / np.sqrt(self.wide)
+        self.scale = norm / align / np.sqrt(self.wide)
+        self.spread = EPSILON * norm * np.sqrt(np.maximum(0.0, 1 - align**2)) / align / np.sqrt(self.wide - 1)
+        wild = ~(np.isfinite(self.scale) & np.isfinite(self.spread))
+        self.scale[wild], self.spread[wild] = 0.0, np.inf  # no estimate: always ranked by the exact product
+        self.both, self.bits = np.empty(len(x), np.uint64), np.empty(len(x), np.uint8)
 
     def estimate(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Estimated inner products with q, and how far off they may be."""
@@ -56,29 +63,36 @@ class Codes:
         low = z.min()
         step = max((z.max() - low) / (2**QUERY_BITS - 1), 1e-300)
         u = np.rint((z - low) / step).astype(np.uint8)
-        weighted = np.zeros(len(self.code), np.int64)
-        for j in range(QUERY_BITS):
-            plane = pack((u >> j & 1)[None])[0]
-            weighted += np.bitwise_count(self.code & plane).sum(1).astype(np.int64) << j
-        signed = 2 * low * self.ones + 2 * step * weighted - (low * self.wide + step * int(u.sum()))
-        scale = self.norm / self.align / np.sqrt(self.wide)
-        return signed * scale, EPSILON * (self.spread * np.linalg.norm(q) + scale * step * np.sqrt(self.wide / 12))
+        planes = pack(u >> np.arange(QUERY_BITS, dtype=np.uint8)[:, None] & 1)
+        weighted = np.zeros(self.code.shape[1], np.uint32)
+        for plane in planes[::-1]:
+            weighted <<= 1
+            for word, mask in zip(self.code, plane, strict=True):
+                np.bitwise_and(word, mask, out=self.both)
+                weighted += np.bitwise_count(self.both, out=self.bits)
+        signed = 2 * step * weighted + (2 * low * self.ones - (low * self.wide + step * int(u.sum())))
+        err = self.spread * np.linalg.norm(q) + self.scale * (EPSILON * step * np.sqrt(self.wide / 12))
+        return signed * self.scale, err
 
 
 def nearest(codes: Codes, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest rows of a block, by exact products of those that the bound leaves."""
+    """The k nearest rows of a block, ids ascending, by exact products of those that the bound leaves."""
     est, err = codes.estimate(q)
-    est[ids == own] = -np.inf
-    n = int(np.isfinite(est).sum())
+    mine = slice(*np.searchsorted(ids, [own, own + 1]))
+    est[mine], err[mine] = -np.inf, 0
+    n = len(ids) - (mine.stop - mine.start)
     if n > k:
-        first = np.argpartition(-est, k)[: k + 1]
-        first = first[np.isfinite(est[first])][:k]
-        floor = np.min((x[first] * q).sum(1))
+        few = min(n, FEW * k)
+        first = np.argpartition(est, len(est) - few)[len(est) - few :]
+        floor = np.partition((x[first] * q).sum(1), few - k)[few - k]
         rows = np.flatnonzero(est + err >= floor)
         rows = np.union1d(rows, first)
     else:
-        rows = np.flatnonzero(np.isfinite(est))
+        rows = np.flatnonzero(est > -np.inf)
     exact = (x[rows] * q).sum(1)
+    if len(rows) > k:
+        top = np.flatnonzero(exact >= np.partition(exact, len(exact) - k)[len(exact) - k])
+        rows, exact = rows[top], exact[top]
     order = np.lexsort((ids[rows], -exact))[:k]
     return rows[order], exact[order]
 
@@ -106,7 +120,7 @@ def search(df: DataFrame, query: DataFrame, k: int = 20) -> DataFrame:
     right = asked.select("vec_id", "x", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_groups)).cast("int").alias("group")).withColumn("block", spread(n_blocks))
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         dims = a["x"].map(len)
         for dim, some in b.groupby(b["x"].map(len)):
             part = a[dims == dim]
@@ -117,8 +131,9 @@ def search(df: DataFrame, query: DataFrame, k: int = 20) -> DataFrame:
             codes = Codes(x, rotation(dim))
             for own, q in zip(some["vec_id"], some["x"], strict=True):
                 at, score = nearest(codes, x, ids, np.asarray(q), own, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[at], "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                for column, values in zip(found, (np.full(len(at), own), ids[at], score), strict=True):
+                    column.append(values)
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, found), strict=True)))
 
     found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(cell, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
