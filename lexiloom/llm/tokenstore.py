@@ -32,6 +32,7 @@ SPACE, LETTER, NUMBER, OTHER, EDGE = range(5)
 BLOCK_BYTES = 2_000_000
 SAMPLE_DOCS, DICTIONARY_BYTES = 2000, 64_000
 CACHE = 1_500_000
+PART, SLICE = 300_000, 500_000
 BLOCK_SCHEMA = "part int, seq int, dictionary_sha256 string, first_doc long, last_doc long, tokens long, doc_ids array<long>, n_tokens array<int>, offsets array<int>, frames binary"
 
 
@@ -66,6 +67,18 @@ class Encoder:
         self.slots = 1 << 22
         self.key, self.at = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.used = {"start": 0, "size": 0, "flat": 0}
+
+    def _append(self, name: str, values: np.ndarray) -> None:
+        """Add to one of the arrays, which doubles when full."""
+        held, n = getattr(self, name), self.used[name]
+        end = n + len(values)
+        if end > len(held):
+            wider = np.empty(max(2 * len(held), end), held.dtype)
+            wider[:n] = held[:n]
+            setattr(self, name, held := wider)
+        held[n:end] = values
+        self.used[name] = end
 
     def starts(self, cp: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Where matches of the pattern begin; first: where texts begin (all texts non-empty)."""
@@ -92,7 +105,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of each."""
-        if len(self.start) > CACHE:
+        if self.used["start"] > CACHE:
             self._clear()
         joined = "".join(texts)
         cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -121,7 +134,7 @@ class Encoder:
         return ids, n_out
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Powers of an odd number modulo 2^64 and their inverses, kept for the longest text so far."""
+        """Powers of an odd number modulo 2^64 and their inverses, kept for the longest part so far."""
         if len(self.power) < n:
             base = 0x9E3779B97F4A7C15
             self.power, self.inverse = np.full(n, np.uint64(base)), np.full(n, np.uint64(pow(base, -1, 1 << 64)))
@@ -131,12 +144,22 @@ class Encoder:
         return self.power, self.inverse
 
     def _known(self, joined: str, cp: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """The number of each match in the store of ids; new ones are encoded by the library."""
+        """The number of each match in the store of ids, by parts of about PART characters."""
         end = np.append(begin[1:], len(cp))
-        power, inverse = self._powers(len(cp) + 1)
-        total = np.zeros(len(cp) + 1, np.uint64)
-        np.add.accumulate(self.value[cp] * power[: len(cp)], out=total[1:])
-        h = common.mix64((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+        which, i = np.empty(len(begin), np.int64), 0
+        while i < len(begin):
+            j = max(i + 1, int(np.searchsorted(end, begin[i] + PART, "right")))
+            which[i:j] = self._known_part(joined, cp, begin[i:j], end[i:j])
+            i = j
+        return which
+
+    def _known_part(self, joined: str, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The same for adjoining matches; new ones are encoded by the library."""
+        own, a, b = cp[begin[0] : end[-1]], begin - begin[0], end - begin[0]
+        power, inverse = self._powers(len(own) + 1)
+        total = np.zeros(len(own) + 1, np.uint64)
+        np.add.accumulate(self.value[own] * power[: len(own)], out=total[1:])
+        h = common.mix64((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
         slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
         which = np.where(self.key[slot] == h, self.at[slot], -1)
         new = np.flatnonzero(which < 0)
@@ -145,10 +168,10 @@ class Encoder:
             at = new[one]
             lists = [e.ids for e in self.library.encode_batch_fast([joined[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], add_special_tokens=False)]
             size = np.fromiter(map(len, lists), np.int64, len(lists))
-            number = len(self.start) + np.arange(len(lists))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in lists for i in x), np.int32, int(size.sum()))])
+            number = self.used["start"] + np.arange(len(lists))
+            self._append("start", self.used["flat"] + np.cumsum(size) - size)
+            self._append("size", size)
+            self._append("flat", np.fromiter((i for x in lists for i in x), np.int32, int(size.sum())))
             s = slot[at]
             self.key[s], self.at[s] = keys, number
             keep = self.key[s] == keys
@@ -208,7 +231,7 @@ def write(df: DataFrame, path: str, tokenizer_path: str | None = None, end_id: i
 
     def sample(batches):
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([common.binary([np.frombuffer(serial(x), np.uint8) for x in ids_of(part.column("text").to_pylist())])], ["ids"])
 
     lowest = df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
@@ -221,7 +244,7 @@ def write(df: DataFrame, path: str, tokenizer_path: str | None = None, end_id: i
     def compress(batches):
         z = _compressor(dictionary)
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", SLICE):
                 arrays = list(ids_of(part.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, arrays), pa.int32()), pa.array([z.compress(serial(a)) for a in arrays], pa.binary())], ["doc_id", "n_tokens", "frame"])
 
@@ -230,6 +253,7 @@ def write(df: DataFrame, path: str, tokenizer_path: str | None = None, end_id: i
     def pack(batches):
         from pyspark import TaskContext
 
+        encoder.cache_clear()  # the worker encodes no more
         part, seq, rows, size = TaskContext.get().partitionId(), 0, [], 0
 
         def block():
@@ -277,6 +301,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     start = head.withColumn("block_start", F.sum("tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("tokens")).join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("block_start")).alias("block_start"))
 
     def run(batches):
+        encoder.cache_clear()
         for batch in batches:
             for row in batch.to_pylist():
                 out, at = [], row["block_start"]
