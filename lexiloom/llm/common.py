@@ -43,18 +43,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, which cuts the lineage."""
+def materialize(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a table to the shared folder, in a folder for each value of the columns `by`, and read it back,
+    which cuts the lineage."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Remove tables made by materialize() that no later plan reads."""
+def discard(*tables: DataFrame, only: str = "") -> None:
+    """Remove tables made by materialize() that no later plan reads; or only their folder of this name (column=value)."""
     for df in tables:
         spark = df.sparkSession
         for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if only and not at.endswith(f"/{only}"):
+                continue
             path = spark._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

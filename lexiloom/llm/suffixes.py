@@ -418,10 +418,11 @@ def remove_repeats(df: DataFrame, with_text: bool = False) -> DataFrame:
     rows = suffix_rows(blocks, sample_splitters(blocks, buckets))
     replies = common.materialize(merged_suffixes(rows), "suffix-replies")
     common.free_shuffles(spark)
-    found = common.materialize(matched_units(blocks, replies, buckets), "suffix-found")
+    found = common.materialize(matched_units(blocks, replies, buckets), "suffix-found", by=("kind",))
     common.discard(replies)
     common.free_shuffles(spark)
     more = common.materialize(merged_windows(found.where("kind = 2").select("bucket", "block", "payload")), "suffix-windows")
+    common.discard(found, only="kind=2")
     common.free_shuffles(spark)
     found = found.where("kind < 2").select("kind", "block", "payload").unionByName(more.select(F.lit(3).alias("kind"), "block", "payload"))
     return cut_texts(blocks, found, with_text)
