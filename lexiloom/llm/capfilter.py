@@ -5,8 +5,12 @@ has its own list of random unit codewords, and every combination of one codeword
 A vector passes the filters whose direction it exceeds ALPHA with; list decoding finds all of them by
 extending partial sums that can still reach ALPHA. Vectors meet in filters that at least two of them
 pass, and the cosine is then taken exactly. ALPHA follows from the number of vectors, so that unlike
-vectors rarely meet, and the length of the code from the number of filters a vector shall pass
-(EXPECTED): two vectors at cosine 0.98 share none with a probability below 1e-4 (measured in the tests).
+vectors rarely meet, and the length of a code from the number of filters a vector shall pass
+(EXPECTED / TURNS). The number of codes follows from a miss that is measured for the dimension and count
+in use: rotations are independent, so two vectors share no filter with the power of the chance that they
+share none under one rotation, and codes are added until that is below MISS at cosine 0.98. Where more
+than MOST_TURNS would be needed (few dimensions, many vectors: caps narrower than the angle of a link),
+wider caps are taken instead, so that more unlike vectors meet and are compared, but no link is given up.
 
 Equal vectors of a label are one class. A filter with many classes is dealt in pairs of blocks; a pair
 counts only in the first filter that it shares, so that nothing is counted twice and no pairs are sent.
@@ -18,6 +22,7 @@ as other vectors.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -30,6 +35,7 @@ from lexiloom.llm import common
 from lexiloom.llm.onebit import takes_part, vectors
 
 COSINE, EXPECTED, TURNS, BLOCK, BATCH_ROWS = 0.98, 60, 15, 1024, 20_000
+MISS, MOST_TURNS, PROBES, PROBE_PAIRS = 1e-4, 48, 8, 500
 
 
 def cap_threshold(dim: int, chance: float) -> float:
@@ -41,21 +47,29 @@ def cap_threshold(dim: int, chance: float) -> float:
 
 
 class ProductCode:
-    """Directions of a dimension, as TURNS product codes under different rotations, and the threshold.
+    """Directions of a dimension, as TURNS or more product codes under different rotations, and the threshold.
 
     Each code has `pieces` lists of `size` codewords. One code's numbers of passed filters vary with the
     few codewords nearest to a vector's pieces, so independent rotations are used.
     """
 
     def __init__(self, dim: int, count: int, seed: int = 5):
-        chance = min(0.005, 0.1 / max(1, count)) if dim >= 8 else 0.2
+        self._build(dim, *plan(dim, count, seed), seed)
+
+    @classmethod
+    def of(cls, dim: int, chance: float, turns: int, seed: int) -> ProductCode:
+        code = cls.__new__(cls)
+        code._build(dim, chance, turns, seed)
+        return code
+
+    def _build(self, dim: int, chance: float, turns: int, seed: int):
         self.pieces = 1 if dim < 8 else 2 if chance > 1e-7 else 3
         self.size = math.ceil((EXPECTED / TURNS / chance) ** (1 / self.pieces)) if dim >= 8 else 8
         self.alpha = cap_threshold(dim, chance) if dim >= 8 else 0.6
         rng = np.random.default_rng(seed)
         self.cuts = np.linspace(0, dim, self.pieces + 1).astype(int)
         self.codes = []
-        for _ in range(TURNS):
+        for _ in range(turns):
             q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
             words = []
             for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
@@ -85,6 +99,37 @@ class ProductCode:
         return row, code
 
 
+def pairs_at(dim: int, cosine: float, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """n pairs of random unit vectors at this cosine (equal ones in one dimension)."""
+    u = unit_rows(rng.standard_normal((n, dim)))
+    if dim == 1:
+        return u, u
+    w = rng.standard_normal((n, dim))
+    w = unit_rows(w - (w * u).sum(1, keepdims=True) * u)
+    return u, cosine * u + math.sqrt(1 - cosine * cosine) * w
+
+
+def missed(u: np.ndarray, v: np.ndarray, decode) -> int:
+    """How many pairs (u, v) share no filter of `decode`."""
+    (r, f), (s, g) = decode(u), decode(v)
+    return len(u) - len({i for i, _ in {*zip(r.tolist(), f.tolist(), strict=True)} & {*zip(s.tolist(), g.tolist(), strict=True)}})
+
+
+@functools.lru_cache(64)
+def plan(dim: int, count: int, seed: int = 5) -> tuple[float, int]:
+    """(chance, turns): that of a random vector to pass a filter, and the codes that keep the miss below MISS."""
+    chance = min(0.005, 0.1 / max(1, count)) if dim >= 8 else 0.2
+    while True:
+        code, rng = ProductCode.of(dim, chance, PROBES, seed), np.random.default_rng(seed + 1)
+        n = PROBES * PROBE_PAIRS
+        one = sum(missed(*pairs_at(dim, COSINE, PROBE_PAIRS, rng), lambda x, c=c: code._decode(x, *c)) for c in code.codes) / n
+        one += 3 * math.sqrt(max(one * (1 - one), 1 / n) / n)  # the estimate's own error
+        turns = math.ceil(math.log(MISS) / math.log(one)) if one < 1 else MOST_TURNS + 1
+        if turns <= MOST_TURNS or dim < 8:
+            return chance, max(TURNS, turns)
+        chance *= 2
+
+
 def unit_rows(arrays) -> np.ndarray:
     x = np.stack([np.asarray(a, np.float64) for a in arrays])
     return x / np.linalg.norm(x, axis=1, keepdims=True)

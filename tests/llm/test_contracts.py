@@ -135,6 +135,20 @@ def test_cap_filters(spark, monkeypatch):
     assert capfilter.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("dim", "count"), [(64, 2_000_000), (64, 100_000_000), (16, 2_000_000), (12, 900_000), (8, 10_000), (8, 2_000_000), (7, 400), (64, 10_000)])
+def test_cap_filters_miss(dim, count):
+    rng = np.random.default_rng(dim + count)
+    u = rng.standard_normal((2000, dim))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = rng.standard_normal((2000, dim))
+    w -= (w * u).sum(1, keepdims=True) * u
+    v = 0.98 * u + math.sqrt(1 - 0.98**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    code = capfilter.ProductCode(dim, count)
+    (r, f), (s, g) = code.decode(u), code.decode(v)
+    met = {i for i, _ in set(zip(r.tolist(), f.tolist(), strict=True)) & set(zip(s.tolist(), g.tolist(), strict=True))}
+    assert 2000 - len(met) <= 1  # at most 0.2 expected
+
+
 def test_token_store(spark):
     docs = plain.corpus(2) + [(1000, "don't  stop'll \n\n 12 é漢字 " * 2000), (1001, "'s 're''ve\t\t x")]
     lib = tokenstore.tokenizer(public_tokenizers.path(tokenstore.TOKENIZER))
