@@ -1,8 +1,14 @@
 """Toxicity scores of texts, after noisy-channel restoration of disguised words.
 
 A disguised word (digits or signs for letters, letters set apart, letters repeated) is seen as the
-output of a noisy channel. A lattice holds the letters that each observed sign may stand for, and a
-Viterbi search picks the likeliest path under a character trigram model, counted over all documents.
+output of a noisy channel. A lattice holds the letters that each observed sign may stand for, and each
+space as a word end or as one that the channel put in; a Viterbi search picks the likeliest path under a
+character trigram model, counted over all documents. Two letters fix the model's state, so the search
+falls into parts at words of two letters or more: these are restored alone, a space between two of them
+is decided by the letters beside it, and pieces of fewer letters are searched together with their spaces.
+Trigrams cannot tell every end inside such a run, so readings add to each other and none takes a word
+away: a word of two letters or more counts by itself too where it is joined, and a run of three single
+signs or more counts as one word too.
 The restored text is scored by a logistic model over its words and word beginnings; weights are
 learned from a bounded sample of labelled documents (MAX_TRAIN), never from held-out ones.
 
@@ -12,6 +18,8 @@ not labelled; of repeated labels for one document the larger counts; repeated ro
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
 
@@ -28,9 +36,11 @@ EDGE, FOREIGN, SYMBOLS = 26, 27, 28
 BEGINNINGS = (4, 6, 8)
 #: The letters that a sign may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
-SWAP_COST, DROP_SIGN, DROP_LETTERLIKE, DROP_DIGIT = 1.0, 0.5, 4.0, 7.0
-SPACED = re.compile(r"(?<!\S)(?:\S[ ]){3,}\S(?!\S)")
-RUN = re.compile(r"(\w)\1\1")
+SWAP_COST, DROP_SIGN, DROP_LETTERLIKE, DROP_DIGIT, DROP_SPACE = 1.0, 0.5, 4.0, 7.0, 3.0
+#: Between two single signs a space is more likely put in than a word end.
+DROP_AMONG_SIGNS, END_AMONG_SIGNS = 0.1, 1.5
+DIGIT = math.log(10)  # the cost of a run of one digit in a number
+RUN = re.compile(r"(\w)\1")
 LEADING = re.compile(r"^[^\w@$!|(€+]+")
 TRAILING = re.compile(r"\W+$")
 
@@ -76,70 +86,205 @@ def symbol(c: str) -> int:
     return ord(c) - 97 if "a" <= c <= "z" else FOREIGN if c.isalpha() else EDGE
 
 
-class Restorer:
-    """Restores words; keeps the results of distinct words within a bound."""
+def arc(out: str, cost: float) -> tuple[str, float, list[int]]:
+    return out, cost, [symbol(c) for c in out]
+
+
+@functools.lru_cache(100_000)
+def arcs_of(c: str, n: int) -> list[tuple[str, float, list[int]]]:
+    """What n of the sign c (3: three or more) may stand for."""
+    reads = [(c, 0.0)] if c.isalpha() else [(x, SWAP_COST) for x in STANDS_FOR.get(c, "")]
+    arcs = [arc(x * k, cost * k + (0.0 if n == k else 0.5)) for x, cost in reads for k in ((1, 2) if n > 1 else (1,))]
+    if not c.isalpha():
+        arcs.append(arc("", DROP_DIGIT if c.isalnum() else DROP_LETTERLIKE if c in STANDS_FOR else DROP_SIGN))
+    return arcs
+
+
+class Kept(dict):
+    """Results by key, within a bound."""
+
+    def __init__(self, make, bound: int):
+        super().__init__()
+        self.make, self.bound = make, bound
+
+    def __missing__(self, key):
+        if len(self) > self.bound:
+            self.clear()
+        self[key] = got = self.make(key)
+        return got
+
+
+class Restorer(Kept):
+    """Restores words and the spaces between them; keeps the results of distinct ones within a bound."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.kept = model, {}
+        super().__init__(self._restore, 500_000)
+        self.model, self.table = model, model.ravel().tolist()
+        self.ends, self.gaps, self.chains = Kept(self.end, 500_000), Kept(self.gap, 500_000), Kept(self.chain, 50_000)
 
     def __call__(self, word: str) -> str:
-        got = self.kept.get(word)
-        if got is None:
-            if len(self.kept) > 500_000:
-                self.kept.clear()
-            got = self.kept[word] = self._restore(word)
-        return got
+        return self[word]
 
     def _restore(self, word: str) -> str:
         core = TRAILING.sub("", LEADING.sub("", word))
         if core.isalpha() and not RUN.search(core):
             return core
-        if sum(c.isalpha() for c in core) < 2:
+        if not any(c.isalpha() or c in STANDS_FOR for c in core):
             return ""
-        return self.decode(core)
-
-    def lattice(self, word: str) -> list[list[tuple[str, float]]]:
-        """For each run of one sign: what it may stand for, and the channel's cost."""
-        out, i = [], 0
-        while i < len(word):
-            j = i
-            while j < len(word) and word[j] == word[i]:
-                j += 1
-            c, n = word[i], j - i
-            reads = [(c, 0.0)] if c.isalpha() else [(x, SWAP_COST) for x in STANDS_FOR.get(c, "")]
-            arcs = [(x * k, cost * k + (0.0 if n == k else 0.5)) for x, cost in reads for k in ({1, 2} if n > 2 else {n, 1} if n == 2 and not c.isalpha() else {n})]
-            if not c.isalpha():
-                arcs.append(("", DROP_DIGIT if c.isalnum() else DROP_LETTERLIKE if c in STANDS_FOR else DROP_SIGN))
-            out.append(arcs)
-            i = j
-        return out
+        score, text = self.best(core)
+        return text if score > -number_cost(core) else ""
+
+    def lattice(self, word: str) -> list[list[tuple[str, float, list[int]]]]:
+        """For each run of one sign: what it may stand for, the channel's cost, and the symbols."""
+        return [arcs_of(c, min(3, len(list(run)))) for c, run in itertools.groupby(word)]
 
     def decode(self, word: str) -> str:
-        """Viterbi over states of the last two letters."""
-        states = {(EDGE, EDGE): (0.0, "")}
-        for arcs in self.lattice(word):
+        return self.best(word)[1]
+
+    def best(self, word: str) -> tuple[float, str]:
+        """Viterbi over states of the last two letters: the score and the word."""
+        states = self._step({(EDGE, EDGE): (0.0, None)}, self.lattice(word))
+        score, path = max(((s + float(self.model[a, b, EDGE]), p) for (a, b), (s, p) in states.items()), key=lambda x: x[0])
+        return score, spelled(path)
+
+    def _step(self, states: dict, lattice: list) -> dict:
+        """The states after a part of the lattice; a path is a linked list of what was put out."""
+        table = self.table
+        for arcs in lattice:
             after: dict = {}
-            for (a, b), (score, text) in states.items():
-                for out, cost in arcs:
+            if len(states) == 1 and len(arcs) == 1:  # nothing to choose
+                (((a, b), (score, path)),), ((out, cost, symbols),) = states.items(), arcs
+                for k in symbols:
+                    score += table[(a * SYMBOLS + b) * SYMBOLS + k]
+                    a, b = b, k
+                states = {(a, b): (score - cost, (path, out))}
+                continue
+            for (a, b), (score, path) in states.items():
+                for out, cost, symbols in arcs:
                     s, x, y = score - cost, a, b
-                    for c in out:
-                        k = symbol(c)
-                        s += float(self.model[x, y, k])
+                    for k in symbols:
+                        s += table[(x * SYMBOLS + y) * SYMBOLS + k]
                         x, y = y, k
                     old = after.get((x, y))
-                    if old is None or (s, text + out) > old:
-                        after[(x, y)] = (s, text + out)
+                    if old is None or s > old[0]:
+                        after[(x, y)] = (s, (path, out) if out else path)
             states = after
-        return max((s + float(self.model[a, b, EDGE]), t) for (a, b), (s, t) in states.items())[1]
+        return states
+
+    def end(self, token: str) -> tuple[str, str, str] | None:
+        """The word of a token, its beginning and its end with the signs beside them; None of fewer than two letters."""
+        core = token.rstrip(".,;:!?")
+        if core.isalpha():  # most words; no search where there is one reading
+            word = self[core] if RUN.search(core) else core
+            return (word, word[:2], word[-2:] + "." * (len(token) - len(core))) if len(word) > 1 else None
+        word = self[token]
+        if len(word) < 2:
+            return None
+        core = LEADING.sub("", token)
+        return word, "." * (len(token) - len(core)) + word[:2], word[-2:] + "." * (len(core) - len(TRAILING.sub("", core)))
+
+    def chain(self, key: tuple[str, tuple[str, ...], str]) -> tuple[list[str], list[str]]:
+        """Words of pieces between the end `left` and the beginning `right` of two words (or ""): the first goes on with
+        the left word, the last begins the right one. Then the runs of single signs, each as one word."""
+        left, pieces, right = key
+        start = tuple(map(symbol, left[:2])) if left else (EDGE, EDGE)
+        states = {start: (0.0, None)}
+        signs = len(left) - 2 if left else 0
+        single = False
+        for piece in pieces:
+            states = self._space(states, signs, single and len(piece) == 1)
+            single = len(piece) == 1
+            whole = {}
+            if (cost := number_cost(piece)) < math.inf:  # a number, or signs alone
+                for (a, b), (s, p) in states.items():
+                    if b == EDGE and ((a, b) not in whole or s - cost > whole[(a, b)][0]):
+                        whole[(a, b)] = (s - cost, p)
+            states = self._step(states, self.lattice(piece))
+            for k, v in whole.items():
+                if k not in states or v[0] > states[k][0]:
+                    states[k] = v
+            signs = 0
+        head = right.lstrip(".")
+        states = self._space(states, len(right) - len(head)) if right else self._step(states, [[arc(" ", 0.0)]])
+        path = max(self._step(states, [[arc(c, 0.0)] for c in head]).values(), key=lambda x: x[0])[1]
+        words = spelled(path)
+        runs = ["".join(g) for one, g in ((k, list(g)) for k, g in itertools.groupby(pieces, key=lambda x: len(x) == 1)) if one and len(g) >= 3]
+        return (words[: -len(head)] if head else words).split(" "), [self[r] for r in runs]
+
+    def _space(self, states: dict, signs: int, among_signs: bool = False) -> dict:
+        """A space with `signs` signs beside it: a word end, or put in by the channel."""
+        end, drop = (END_AMONG_SIGNS, DROP_AMONG_SIGNS) if among_signs else (0.0, DROP_SPACE + DROP_SIGN * signs)
+        return self._step(states, [[arc(" ", end), arc("", drop)]])
+
+    def gap(self, key: tuple[str, str]) -> bool:
+        """Whether the space between two words was put in, by the end and the beginning beside it."""
+        left, right = key
+        (a, b), (c, d) = map(symbol, left[:2]), map(symbol, right[-2:])
+        m = self.model
+        apart = m[a, b, EDGE] + m[b, EDGE, c] + m[EDGE, c, d]
+        joined = m[a, b, c] + m[b, c, d] - DROP_SPACE - DROP_SIGN * (len(left) + len(right) - 4)
+        return bool(joined > apart)
+
+
+def number_cost(word: str) -> float:
+    """The cost of a word without letters as a number or signs, a run of one sign counted once; infinite for others."""
+    if any(c.isalpha() for c in word):
+        return math.inf
+    return sum(DIGIT if c.isalnum() else DROP_LETTERLIKE if c in STANDS_FOR else DROP_SIGN for c, _ in itertools.groupby(word))
+
+
+def spelled(path) -> str:
+    out = []
+    while path:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def words_of(text: str | None, restore: Restorer) -> set[str]:
-    """The distinct restored words of a whole text; letters set apart are joined first."""
+    """The distinct restored words of a whole text, spaces that the channel put in removed."""
     if not text:
         return set()
-    low = text.lower()
-    low = SPACED.sub(lambda m: m.group(0).replace(" ", ""), low)
-    return set(map(restore, set(low.split()))) - {""}
+    ends, gaps, chains = restore.ends, restore.gaps, restore.chains
+    tokens = text.lower().split()
+    words = {end[0] for end in map(ends.__getitem__, set(tokens)) if end}
+    pieces: list[str] = []
+    line, tail, joined = "", "", False  # the word so far, the end of its last part, whether it has several
+    for token in tokens:
+        end = ends[token]
+        if end is None:
+            pieces.append(token)
+            continue
+        word, head, after = end
+        if pieces:
+            got, runs = chains[tail, tuple(pieces), head]
+            pieces = []
+            words.update(runs)
+            if len(got) > 1:
+                words.add(line + got[0])
+                words.update(got[1:-1])
+                line = got[-1] + word
+            else:
+                line += got[0] + word
+            joined = True
+        elif tail and gaps[tail, head]:
+            line += word
+            joined = True
+        else:
+            if joined:
+                words.add(line)
+                joined = False
+            line = word
+        tail = after
+    if pieces:
+        got, runs = restore.chain((tail, tuple(pieces), ""))
+        words.update(runs)
+        words.add(line + got[0])
+        words.update(got[1:])
+    else:
+        words.add(line)
+    words.discard("")
+    return words
 
 
 def features(word: str) -> list[str]:
@@ -211,21 +356,11 @@ def score(df: DataFrame, model: np.ndarray, weights: dict[str, float], keep: lis
     def run(batches):
         restore = Restorer(model)
 
-        class Weight(dict):
-            def __missing__(self, word):
-                if len(self) > 1_000_000:
-                    self.clear()
-                r = restore(word)
-                self[word] = got = sum(weights.get(f, 0.0) for f in features(r)) if r else 0.0
-                return got
-
-        known = Weight()
+        known = Kept(lambda word: sum(weights[f] for f in features(word) if f in weights), 1_000_000)
         for batch in batches:
             out = []
             for text in batch.column("__text").to_pylist():
-                low = (text or "").lower()
-                low = SPACED.sub(lambda m: m.group(0).replace(" ", ""), low)
-                total = sum(map(known.__getitem__, set(low.split())), weights[""])
+                total = math.fsum(map(known.__getitem__, words_of(text, restore))) + weights[""]
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.float64())], [*keep, SCORE])
 

@@ -222,6 +222,19 @@ def test_restoration():
     assert toxicity.words_of("he is m o r o n here", restore) == {"he", "is", "moron", "here"}
 
 
+def test_restoration_of_spaces_and_short_words():
+    rnd = random.Random(1)
+    text = (plain.prose(rnd, 3000) + " idiot stupid moron clown trash loser" * 20 + " ass" * 300).encode()
+    c = toxicity.byte_classes()[np.frombuffer(text, np.uint8)].astype(int)
+    n = np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3)
+    restore = toxicity.Restorer(toxicity.language_model(enumerate(n)))
+    assert [restore(w) for w in ("stuupid", "m0ronn", "a55", "555-1234", "2024", "3.")] == ["stupid", "moron", "ass", "", "", ""]
+    for spaced, word in (("st up id", "stupid"), ("stu pid", "stupid"), ("i d i o t a b", "idiot"), ("s t u p i d and", "stupid"), ("$ t u p 1 d", "stupid"), ("the cl own!", "clown"), ("a s s", "ass")):
+        assert word in toxicity.words_of(spaced, restore)
+    assert {"they", "said", "nothing"} <= toxicity.words_of("they said nothing", restore)
+    assert toxicity.words_of(" ".join("x" * 20_000), restore) and toxicity.words_of("7 " * 20_000, restore) == set()
+
+
 def test_edit_counts(spark):
     docs = plain.corpus(4) + [(1000, plain.prose(random.Random(1), 3000))]
     enc = bpe.codec(bpe.ranks_path(), public_tokenizers.PATTERN)[0]
