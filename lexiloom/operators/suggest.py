@@ -36,7 +36,8 @@ def prefix_range(corpus: DataFrame, prefixes: DataFrame) -> DataFrame:
     within = Window.partitionBy("part").orderBy("phrase", F.col("q").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     first = spread.withColumn("smaller", F.coalesce(F.sum("n").over(within), F.lit(0))).where("q is not null").join(parts, "part").select("q", (F.col("before") + F.col("smaller")).alias("first"))
     lengths = q.select(F.char_length("q").alias("k")).distinct()
-    starts = per.join(F.broadcast(lengths.limit(1024)), F.col("k") <= F.char_length("phrase")).groupBy(F.substring("phrase", F.lit(1), F.col("k")).alias("q")).agg(F.sum("n").alias("n"))
+    # every length is needed; k distinct ones take k^2 / 2 characters of prefixes, so their list stays small
+    starts = per.join(F.broadcast(lengths), F.col("k") <= F.char_length("phrase")).groupBy(F.substring("phrase", F.lit(1), F.col("k")).alias("q")).agg(F.sum("n").alias("n"))
     return first.join(starts, "q", "left").select("q", "first", (F.col("first") + F.coalesce("n", F.lit(0))).alias("last"))
 
 

@@ -122,3 +122,11 @@ def test_entry(spark):
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_prefix_range_of_many_lengths(spark):
+    phrase = "".join(chr(97 + i % 26) for i in range(1300))
+    corpus = spark.createDataFrame([(phrase,), ("b",)], "phrase string")
+    asked = spark.createDataFrame([(phrase[:k],) for k in range(1, 1301)], "q string")
+    got = {r.q: (r.first, r["last"]) for r in prefix_range(corpus, asked).collect()}
+    assert got == {phrase[:k]: (0, 1) for k in range(1, 1301)}
