@@ -7,7 +7,8 @@ are merged into a probabilistic automaton. Every long token is then scored by it
 the automaton against a bigram model of all long tokens; those that look like the format are added
 as spans of kind `format`.
 
-Defined results: null and empty texts have no spans; without examples nothing is added; positions are
+Defined results: null and empty texts have no spans; with fewer than 8 distinct
+examples of 16 characters nothing is added; positions are
 code points with exclusive ends; repeated rows repeat; fixed spans always stay.
 """
 
@@ -29,8 +30,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "format")
-LONG = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LONG = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SIGNS = "+/_.=-"
 
 MAX_EXAMPLES, ALPHA, QUANTILE, MARGIN = 1000, 0.05, 0.02, 0.4
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_.=-")
@@ -47,9 +49,10 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[str], list[t
             if len(m[2]) >= 6:
                 spans.append((m.start(), 0, m.end()))
                 found.append(m[2])
-    rest = []
+    runs = []
     for m in LONG.finditer(text):
-        run, at, base = m[0], m.start(), len(spans)
+        run, at = m[0], m.start()
+        runs.append((at, m.end()))
         if "AKIA" in run:
             for x in ACCESS.finditer(run):
                 if x.end() - x.start() >= 20:
@@ -59,12 +62,21 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[str], list[t
             if x.end() - x.start() >= 24:
                 spans.append((at + x.start(), 2, at + x.end()))
                 found.append(x[0])
-        if len(spans) == base:
-            rest += [(at + x.start(), at + x.end()) for x in TOKEN.finditer(run)]
     spans.sort()
-    if rest and spans:
-        taken = [(s, e) for s, _, e in spans]
-        rest = [(a, b) for a, b in rest if not any(s < b and a < e for s, e in taken)]
+    rest, i, covered = [], 0, 0
+    for a, b in runs:  # what the fixed spans leave of a run, without the sign that joins it to one
+        at = max(a, covered)
+        while True:
+            s, e = (spans[i][0], spans[i][2]) if i < len(spans) and spans[i][0] < b else (b, None)
+            x, y = at, s
+            if x < y:
+                x += x > a and text[x] in SIGNS
+                y -= y < b and x < y and text[y - 1] in SIGNS
+                rest += [m.span() for m in TOKEN.finditer(text, x, y)]
+            if e is None:
+                break
+            i, covered = i + 1, max(covered, e)
+            at = max(at, covered)
     return [(k, s, e) for s, k, e in spans], found, rest
 
 
