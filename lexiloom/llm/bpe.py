@@ -1,11 +1,14 @@
 """Byte-level BPE encoding and decoding with a local rank file.
 
 Every match of the split pattern is encoded separately, as the tiktoken library does. Long texts are
-cut first at places where the pattern always ends a match (a word character before white space), so
-that the library never sees a huge string; the ids do not depend on the cuts. Decoding joins raw
-bytes, which need not be valid UTF-8 token by token.
-
-Defined results: null and empty texts have no ids; repeated rows repeat; other columns are ignored.
+cut first at places where the pattern always ends a match (white space after another character, or an ASCII
+letter or digit before another kind), so that the library never sees a huge string; the ids do not depend on the cuts. A long run of white space
+is one match but for its last character, which belongs to what follows; it is encoded as that, without
+the pattern, whose look-ahead would overflow the library's stack. Decoding joins raw bytes, which need
+not be valid UTF-8 token by token.
+
+Defined results: null and empty texts have no ids; repeated rows repeat; other columns are ignored; texts
+and runs of any length are encoded whole; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -23,17 +26,20 @@ from lexiloom.llm import common
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CUT_CHARS = 16_384
-SAFE = re.compile(r"(?<=\w)(?=[ \t\r\n])")
+SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n])|(?<=[A-Za-z])(?=[!-@\[-`{-~])|(?<=[0-9])(?=[!-/:-~])|(?<=[^\W\d_])(?=[、。，！？])")
+#: Fixed value: the characters that the pattern's white space takes (Unicode's White_Space), in runs too long for it.
+WHITE_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 @functools.lru_cache(maxsize=4)
 def codec(path: str, pattern: str):
-    """The tiktoken encoder of a rank file, and the decimal form of each id."""
+    """The tiktoken encoder of a rank file, the decimal form of each id, and the encoder that takes white space whole."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding(f"ranks:{path}", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), [str(i) for i in range(max(ranks.values()) + 1)]
+    of = lambda pat: tiktoken.Encoding(f"ranks:{path}", pat_str=pat, mergeable_ranks=ranks, special_tokens={})
+    return of(pattern), [str(i) for i in range(max(ranks.values()) + 1)], of(r"\s+")
 
 
 def safe_parts(text: str, limit: int = CUT_CHARS) -> list[str]:
@@ -50,11 +56,21 @@ def safe_parts(text: str, limit: int = CUT_CHARS) -> list[str]:
 
 
 def encode_text(text: str | None, path: str, pattern: str) -> list[int]:
-    encoding = codec(path, pattern)[0]
+    encoding, _, whole = codec(path, pattern)
     if not text:
         return []
     if len(text) <= CUT_CHARS:
         return encoding.encode_ordinary(text)
+    ids, begin = [], 0
+    for run in WHITE_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += _encode_parts(text[begin : run.start()], encoding)
+        ids += whole.encode_ordinary(text[run.start() : end])
+        begin = end
+    return ids + _encode_parts(text[begin:], encoding)
+
+
+def _encode_parts(text: str, encoding) -> list[int]:
     return [i for part in safe_parts(text) for i in encoding.encode_ordinary(part)]
 
 
