@@ -253,6 +253,10 @@ def test_edit_counts(spark):
     for i, t in docs:
         assert (got[i]["n_before"], got[i]["n_after"], got[i]["n_chars_after"]) == (len(enc.encode_ordinary(t or "")), len(enc.encode_ordinary(after[i])), len(after[i]))
     assert got[1000]["n_reencoded"] < 0.5 * len(after[1000])
+    kept = editcount.apply_edits(editcount.trees(df), with_tree=True)
+    again = rows(editcount.apply_edits(kept.withColumn("edits", F.lit(None).cast("array<struct<pos: int, n_del: int, ins: string>>"))))
+    assert all(again[i]["n_before"] == again[i]["n_after"] == got[i]["n_after"] and again[i]["n_reencoded"] == 0 for i, _ in docs)
+    assert editcount.counts(df.limit(0)).count() == 0
 
 
 def test_credentials(spark):
