@@ -5,14 +5,18 @@ taken from every document; the fraction is an inclusion probability, and the cub
 probabilities into 0 or 1: three documents at a time move along the null space of the two balancing
 constraints (documents and words), so both totals stay as they are. Blocks of a source run apart
 (hot sources have many); each leaves at most two undecided documents, which meet in the next, much
-smaller level. The last two of a source are landed on the choice nearest to the target.
+smaller level. In the last block of a source the flight lands: of the last two documents one more is
+settled with the words kept and the number of documents let go, the last one is rounded, and the words
+that are then missing or too many are made up by changing the choice of as few documents as fit.
 
 Defined results: null and empty texts have size 0 and take 0; sources without words have target 0; a
-null source is a source; ties and repeated rows are separate units; reruns agree.
+null source is a source; ties and repeated rows are separate units; reruns agree; null ids are units like
+others; texts of any length are counted whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import random
 
 import pandas as pd
@@ -48,12 +52,30 @@ def targets(sized: DataFrame, weights=(1, 2, 3), cap: float = 3.0) -> DataFrame:
     return per.withColumn("target", target).select("source", "source_size", "n_docs", "target")
 
 
+TINY = 1e-12
+
+
+def _moved(prob: list[float], active: list[int], move: tuple[float, ...], rng: random.Random) -> list[int]:
+    """Move the active probabilities along `move`, either way by chance so that none changes on average, until one is
+    0 or 1; those still between are returned."""
+    up = min((1 - prob[i]) / v if v > 0 else prob[i] / -v for i, v in zip(active, move, strict=True) if v)
+    down = min(prob[i] / v if v > 0 else (1 - prob[i]) / -v for i, v in zip(active, move, strict=True) if v)
+    step = up if rng.random() * (up + down) < down else -down
+    for i, v in zip(active, move, strict=True):
+        prob[i] = settled(prob[i] + step * v)
+    return [i for i in active if 0.0 < prob[i] < 1.0]
+
+
+def settled(p: float) -> float:
+    return 0.0 if p <= TINY else 1.0 if p >= 1 - TINY else p
+
+
 def flight(prob: list[float], size: list[int], rng: random.Random) -> list[float]:
     """Move probabilities to 0 or 1 under constant sum and constant size-weighted sum; at most two stay between."""
-    prob, active, nxt, n, tiny = list(prob), [], 0, len(prob), 1e-12
+    prob, active, nxt, n = list(map(settled, prob)), [], 0, len(prob)
     while True:
         while len(active) < 3 and nxt < n:
-            if tiny < prob[nxt] < 1 - tiny:
+            if 0.0 < prob[nxt] < 1.0:
                 active.append(nxt)
             nxt += 1
         if len(active) < 2 or (len(active) == 2 and size[active[0]] != size[active[1]]):
@@ -63,39 +85,42 @@ def flight(prob: list[float], size: list[int], rng: random.Random) -> list[float
         else:
             a, b, c = (size[i] for i in active)
             move = (float(c - b), float(a - c), float(b - a)) if a != b or b != c else (1.0, -1.0, 0.0)
-        up = min((1 - prob[i]) / v if v > 0 else prob[i] / -v for i, v in zip(active, move, strict=True) if v)
-        down = min(prob[i] / v if v > 0 else (1 - prob[i]) / -v for i, v in zip(active, move, strict=True) if v)
-        step = up if rng.random() * (up + down) < down else -down
-        left = []
-        for i, v in zip(active, move, strict=True):
-            prob[i] += step * v
-            if prob[i] <= tiny:
-                prob[i] = 0.0
-            elif prob[i] >= 1 - tiny:
-                prob[i] = 1.0
-            else:
-                left.append(i)
-        active = left
-
-
-def landing(prob: list[float], size: list[int]) -> list[float]:
-    """Settle the few undecided: the 0/1 choice whose words come nearest to their expectation, fewer documents first."""
-    open_ = [i for i, p in enumerate(prob) if 0.0 < p < 1.0]
-    want = sum(prob[i] * size[i] for i in open_)
-    best = min(range(1 << len(open_)), key=lambda m: (abs(sum(size[i] for j, i in enumerate(open_) if m >> j & 1) - want), bin(m).count("1"), m))
-    for j, i in enumerate(open_):
-        prob[i] = float(best >> j & 1)
+        active = _moved(prob, active, move, rng)
+
+
+def landing(before: list[float], prob: list[float], size: list[int], rng: random.Random) -> list[float]:
+    """Settle the few undecided after the flight from `before`: the words are kept, then the number of documents."""
+    prob = list(prob)
+    active = [i for i, p in enumerate(prob) if 0.0 < p < 1.0]
+    while len(active) > 1:  # of two, one is settled along the words' null space
+        a, b = size[active[0]], size[active[1]]
+        active = _moved(prob, active[:2], (float(b), -float(a)) if a or b else (1.0, -1.0), rng) + active[2:]
+    for i in active:
+        prob[i] = float(rng.random() < prob[i])
+    free = sorted((i for i, p in enumerate(before) if 0.0 < settled(p) < 1.0), key=lambda i: -size[i])
+    missing = math.fsum(before[i] * size[i] for i in free) - sum(size[i] for i in free if prob[i])
+    for i in free:  # largest first, so few change
+        add = missing > 0
+        if 0 < size[i] <= abs(missing) and prob[i] == float(not add):
+            prob[i] = float(add)
+            missing += -size[i] if add else size[i]
+    add = missing > 0
+    least = min((i for i in free if size[i] and prob[i] == float(not add)), key=lambda i: size[i], default=None)
+    if least is not None and size[least] < 2 * abs(missing):
+        prob[least] = float(add)
     return prob
 
 
-def _level(frame: DataFrame, last: bool, seed: int) -> DataFrame:
+def _level(frame: DataFrame, block: int, seed: int) -> DataFrame:
+    """One level: the flight in each block, and the landing where the block is all that its source has left."""
+
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "rep", "size"], kind="stable")
         head = pdf.iloc[0]
         rng = random.Random(f"{seed}/{head['source']}/{head['block']}/{len(pdf)}")
-        size = [int(x) for x in pdf["size"]]
-        prob = flight([float(x) for x in pdf["prob"]], size, rng)
-        return pdf.assign(prob=landing(prob, size) if last else prob)
+        size, before = [int(x) for x in pdf["size"]], [float(x) for x in pdf["prob"]]
+        prob = flight(before, size, rng)
+        return pdf.assign(prob=landing(before, prob, size, rng) if head["n_docs"] <= block else prob)
 
     return frame.groupBy("source", "block").applyInPandas(decide, frame.schema)
 
@@ -111,9 +136,8 @@ def decide(sized: DataFrame, weights=(1, 2, 3), cap: float = 3.0, seed: int = 7,
     while True:
         blocks = F.greatest(F.ceil(F.col("n_docs") / F.lit(block)), F.lit(1)).cast("long")
         units = units.withColumn("block", F.pmod(F.xxhash64("doc_id", "rep", F.lit(level)), blocks))
-        last = most <= block
-        settled = common.materialize(_level(units, last, seed + level), "mix-level")
-        if last:
+        settled = common.materialize(_level(units, block, seed + level), "mix-level")
+        if most <= block:
             done.append(settled)
             break
         within = (F.col("prob") > 0) & (F.col("prob") < 1)
@@ -122,6 +146,8 @@ def decide(sized: DataFrame, weights=(1, 2, 3), cap: float = 3.0, seed: int = 7,
         left = units.groupBy("source").agg(F.count("*").alias("n_docs"))
         left = common.materialize(left.withColumnRenamed("source", "source_"), "mix-left")
         most = left.agg(F.max("n_docs")).first()[0] or 0
+        if not most:
+            break
         units = units.drop("n_docs").join(left, F.col("source").eqNullSafe(F.col("source_"))).drop("source_").select(*settled.columns)
         level += 1
     out = done[0]
