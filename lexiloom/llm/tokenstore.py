@@ -3,13 +3,16 @@
 Encoding uses the tokenizers library. Its vocabulary splits text by a pattern and encodes each match
 on its own, so a worker finds the matches with array operations, encodes every distinct match once
 with the library and gathers ids from that. The character classes of the pattern are asked from the
-library itself; texts with characters beyond CLASSED go through the library as a whole.
+library itself; texts with characters beyond CLASSED, or with the text of an added token, go through the
+library as a whole. Matches are told apart by two 64-bit sums of tabulated random values of each character
+and place, 128 bits in all; a match whose slot holds another is encoded anew.
 
 Store (a folder): `dictionary/` (dictionary_sha256, dictionary) and `blocks/`, rows in ascending
 doc_id order with the concatenated frames of up to BLOCK_BYTES, the dictionary's hash, and an offset
 index (doc_ids, n_tokens, frame offsets). A document is read from one block's slice.
 
-Defined results: null and empty texts hold only the end id; repeated rows repeat; null ids sort first.
+Defined results: null and empty texts hold only the end id; repeated rows repeat; null ids sort first;
+texts of any length are encoded whole; other columns are ignored; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -30,18 +33,18 @@ TOKENIZER = "byte_bpe_50k.json"
 CLASSED = 0x3000
 SPACE, LETTER, NUMBER, OTHER, EDGE = range(5)
 BLOCK_BYTES = 2_000_000
-SAMPLE_DOCS, DICTIONARY_BYTES = 2000, 64_000
+#: The dictionary is fitted on so many documents, and so many bytes of the ids of each; it never changes what is read back.
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 32_000, 64_000
 CACHE = 1_500_000
 PART, SLICE = 300_000, 500_000
+TURNS = common.mix64(np.arange(64, dtype=np.uint64) + np.uint64(1 << 40))
 BLOCK_SCHEMA = "part int, seq int, dictionary_sha256 string, first_doc long, last_doc long, tokens long, doc_ids array<long>, n_tokens array<int>, offsets array<int>, frames binary"
 
 
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
@@ -50,8 +53,8 @@ class Encoder:
     def __init__(self, path: str):
         self.library = tokenizer(path)
         self.classes = self._classes()
-        self.value = common.mix64(np.arange(1, CLASSED + 1, dtype=np.uint64))
-        self.power = self.inverse = np.zeros(0, np.uint64)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.value = [common.mix64(np.arange(1, CLASSED + 1, dtype=np.uint64) + np.uint64(k << 32)) for k in (0, 1)]
         self._clear()
 
     def _classes(self) -> np.ndarray:
@@ -65,7 +68,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.slots = 1 << 22
-        self.key, self.at = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
+        self.key, self.check, self.at = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.used = {"start": 0, "size": 0, "flat": 0}
 
@@ -110,8 +113,10 @@ class Encoder:
         joined = "".join(texts)
         cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        if len(cp) and int(cp.max()) >= CLASSED:
-            wide = [i for i, t in enumerate(texts) if t and ord(max(t)) >= CLASSED]
+        wide = [i for i, t in enumerate(texts) if t and ord(max(t)) >= CLASSED] if len(cp) and int(cp.max()) >= CLASSED else []
+        if any(a in joined for a in self.added):
+            wide = sorted({*wide, *(i for i, t in enumerate(texts) if any(a in t for a in self.added))})
+        if wide:
             plain = [t for i, t in enumerate(texts) if i not in set(wide)]
             ids, n = self.encode(plain)
             parts = np.split(ids, np.cumsum(n)[:-1]) if len(plain) else []
@@ -133,16 +138,6 @@ class Encoder:
         n_out[full] = np.add.reduceat(size, np.searchsorted(begin, first))
         return ids, n_out
 
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Powers of an odd number modulo 2^64 and their inverses, kept for the longest part so far."""
-        if len(self.power) < n:
-            base = 0x9E3779B97F4A7C15
-            self.power, self.inverse = np.full(n, np.uint64(base)), np.full(n, np.uint64(pow(base, -1, 1 << 64)))
-            for x in (self.power, self.inverse):
-                x[0] = 1
-                np.multiply.accumulate(x, out=x)
-        return self.power, self.inverse
-
     def _known(self, joined: str, cp: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """The number of each match in the store of ids, by parts of about PART characters."""
         end = np.append(begin[1:], len(cp))
@@ -156,30 +151,34 @@ class Encoder:
     def _known_part(self, joined: str, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The same for adjoining matches; new ones are encoded by the library."""
         own, a, b = cp[begin[0] : end[-1]], begin - begin[0], end - begin[0]
-        power, inverse = self._powers(len(own) + 1)
-        total = np.zeros(len(own) + 1, np.uint64)
-        np.add.accumulate(self.value[own] * power[: len(own)], out=total[1:])
-        h = common.mix64((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+        turn = _turns(np.arange(len(own)) - np.repeat(a, b - a))
+        h, g = (common.mix64(np.add.reduceat(common.mix64(v[own] + turn), a) + (b - a).astype(np.uint64)) for v in self.value)
         slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
-        which = np.where(self.key[slot] == h, self.at[slot], -1)
+        which = np.where((self.key[slot] == h) & (self.check[slot] == g), self.at[slot], -1)
         new = np.flatnonzero(which < 0)
         if len(new):
-            keys, one, back = np.unique(h[new], return_index=True, return_inverse=True)
-            at = new[one]
+            order = new[np.lexsort((g[new], h[new]))]
+            first = np.ones(len(order), bool)
+            first[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+            at, back = order[first], np.cumsum(first) - 1
             lists = [e.ids for e in self.library.encode_batch_fast([joined[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], add_special_tokens=False)]
             size = np.fromiter(map(len, lists), np.int64, len(lists))
             number = self.used["start"] + np.arange(len(lists))
             self._append("start", self.used["flat"] + np.cumsum(size) - size)
             self._append("size", size)
             self._append("flat", np.fromiter((i for x in lists for i in x), np.int32, int(size.sum())))
-            s = slot[at]
-            self.key[s], self.at[s] = keys, number
-            keep = self.key[s] == keys
-            self.at[s[keep]] = number[keep]
-            which[new] = number[back]
+            which[order] = number[back]
+            s, last = np.unique(slot[at][::-1], return_index=True)  # one match a slot
+            last = len(at) - 1 - last
+            self.key[s], self.check[s], self.at[s] = h[at[last]], g[at[last]], number[last]
         return which
 
 
+def _turns(place: np.ndarray) -> np.ndarray:
+    """A random value of each place in a match."""
+    return TURNS[place] if int(place.max()) < len(TURNS) else common.mix64(place.astype(np.uint64) + np.uint64(1 << 40))
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     import os
@@ -232,11 +231,14 @@ def write(df: DataFrame, path: str, tokenizer_path: str | None = None, end_id: i
     def sample(batches):
         for batch in batches:
             for part in common.slices(batch, "text", SLICE):
-                yield pa.RecordBatch.from_arrays([common.binary([np.frombuffer(serial(x), np.uint8) for x in ids_of(part.column("text").to_pylist())])], ["ids"])
+                ids = [serial(x[: SAMPLE_BYTES // 4]) for x in ids_of(part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(ids, pa.binary())], ["h", "ids"])
 
+    # of rows that share an id those whose text hashes lowest, so that reruns agree
     lowest = df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    some = df.select("doc_id", F.substring("text", 1, 20_000).alias("text")).join(F.broadcast(lowest), "doc_id")
-    samples = [bytes(r[0]) for r in some.mapInArrow(sample, "ids binary").limit(SAMPLE_DOCS).collect()]
+    some = df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).join(F.broadcast(lowest), "doc_id").select("h", "text")
+    some = some.mapInArrow(sample, "h long, ids binary").orderBy("h", "ids").limit(SAMPLE_DOCS)
+    samples = [bytes(r[1]) for r in some.collect()]
     dictionary = train_dictionary(sorted(samples))
     sha = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(sha, bytearray(dictionary))], "dictionary_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -277,7 +279,7 @@ def write(df: DataFrame, path: str, tokenizer_path: str | None = None, end_id: i
 
 
 def _dictionary(spark: SparkSession, path: str) -> dict[str, bytes]:
-    return {r[0]: bytes(r[1]) for r in spark.read.parquet(f"{path}/dictionary").limit(16).collect()}
+    return {r[0]: bytes(r[1]) for r in spark.read.parquet(f"{path}/dictionary").collect()}
 
 
 def _frames(row: dict, dictionaries: dict[str, bytes]):
