@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 import tempfile
-from http.server import BaseHTTPRequestHandler, HTTPServer
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 MOST_URL = 2048
 
@@ -50,13 +50,16 @@ def main(args: list[str] | None = None) -> int:
 
     o = options(sys.argv[1:] if args is None else args)
     spark = SparkSession.builder.appName("lexiloom").getOrCreate()
+    if not o.store and not spark.sparkContext.master.startswith("local["):
+        print("--store must name a folder that all machines share", file=sys.stderr)
+        return 2
     service = SuggestService(spark, o.store or tempfile.mkdtemp(prefix="lexiloom-store-"))
     if o.file:
         answer = service.import_(o.file, o.limit)
         print(answer.body, file=sys.stderr)
         if answer.status != 200:
             return 1
-    HTTPServer(("", o.port), make_handler(service)).serve_forever()
+    ThreadingHTTPServer(("", o.port), make_handler(service)).serve_forever()
     return 0
 
 

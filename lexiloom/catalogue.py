@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import scalars as S
 from lexiloom.operators import render
 from lexiloom.operators.range_max import range_max
-from lexiloom.operators.suggest import prefix_index, prefix_range, suggest, suggest_batch
+from lexiloom.operators.suggest import fuzzy_suggest, naive_suggest, prefix_index, prefix_range, suggest, suggest_batch
 from lexiloom.plans import corpora as C
 from lexiloom.sources import corpus as K
 
@@ -59,9 +59,25 @@ def rendered(kind, callback=None):
     return run
 
 
-def word_pairs(spark, d):
+def word_distances(spark, d):
+    """All adjoining words of each whole text: their number, and the sum and the largest of their distances."""
     docs = C.table(spark, d, "documents").select("doc_id", F.split("text", r"[ \n]+").alias("w"))
-    return docs.select("doc_id", F.coalesce(F.get("w", F.lit(1)), F.lit("")).alias("a"), F.coalesce(F.get("w", F.lit(2)), F.lit("")).alias("b"))
+    pair = F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))
+    each = docs.where(F.size("w") > 1).select("doc_id", F.explode(pair).alias("p"))
+    distance = S.edit_distance(F.col("p.a"), F.col("p.b")).cast("long")
+    return each.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.sum(distance).alias("total"), F.max(distance).alias("largest"))
+
+
+def urls(spark, d):
+    """A request line for every part, escaped in part, with odd names and values among them."""
+    p = C.table(spark, d, "part")
+    q = F.concat(F.lit("x=1&q="), F.replace(F.col("p_name"), F.lit(" "), F.lit("%20")), F.when(F.col("p_partkey") % 3 == 0, F.lit("=%41%zz")).when(F.col("p_partkey") % 3 == 1, F.lit("%C3%A9%4")).otherwise(F.lit("")), F.lit("&n="), (F.col("p_partkey") % 50 - 9).cast("string"), F.when(F.col("p_partkey") % 5 == 0, F.lit("&q")).otherwise(F.lit("&&z=2")))
+    return p.select(F.col("p_partkey").alias("qid"), q.alias("query"))
+
+
+def parsed(spark, d):
+    rows = urls(spark, d).select("qid", S.query_parameter(F.col("query"), "q").alias("q"), S.query_parameter(F.col("query"), "n").alias("n"), S.query_parameter(F.col("query"), "y").alias("y"))
+    return rows.select("qid", S.percent_decode_column(F.col("q")).alias("q"), S.clamp_n_text(F.col("n")).alias("n"), F.col("y").isNull().alias("no_y"))
 
 
 def numbers(spark, d):
@@ -76,6 +92,10 @@ def queries() -> dict:
         "suggest_duplicates": q_suggest(C.parts, "re", 32),
         "suggest_uppercase_query": q_suggest(C.popularity, "SMALL", 16),
         "suggest_no_match": lambda s, d: suggest(C.popularity(s, d), "zzz", 10).agg(F.count("*").alias("n")),
+        "suggest_long_prefix": q_suggest(C.popularity, "small bol", 16),
+        "suggest_naive": lambda s, d: naive_suggest(C.parts(s, d), "sm", 32),
+        "suggest_fuzzy": lambda s, d: fuzzy_suggest(C.tokens(s, d), "the", 2, 20),
+        "request_parse": parsed,
         "suggest_n_clamped": lambda s, d: requests(s, d).select("qid", S.clamp_n_column(F.col("n")).alias("n")),
         "suggest_batch": batch,
         "prefix_index_top32": lambda s, d: prefix_index(C.parts(s, d)),
@@ -97,7 +117,7 @@ def queries() -> dict:
         "escape_special": lambda s, d: C.table(s, d, "documents").select("doc_id", S.escape_json(F.col("text")).alias("escaped")),
         "ascii_lower": lambda s, d: C.table(s, d, "documents").select("doc_id", S.ascii_lower(F.col("text")).alias("lower")),
         "soundex_ref": lambda s, d: C.tokens(s, d).select("phrase", S.soundex(F.col("phrase")).alias("code")),
-        "edit_distance_bytes": lambda s, d: word_pairs(s, d).select("doc_id", S.edit_distance(F.col("a"), F.col("b")).cast("long").alias("distance")),
+        "edit_distance_bytes": word_distances,
         "humanized_diff": lambda s, d: numbers(s, d).select("o_orderkey", S.time_difference(F.col("s"), F.lit(1000000)).alias("text")),
         "zero_pad": lambda s, d: numbers(s, d).select("o_orderkey", S.zero_pad(F.col("s"), 5).alias("padded"), S.plural(F.lit("row"), F.col("s") % 3).alias("word")),
         "floor_log2": lambda s, d: numbers(s, d).select("o_orderkey", S.floor_log2(F.col("s")).cast("long").alias("log2")),
@@ -108,7 +128,7 @@ def oracle_sql() -> dict[str, str]:
     index = lambda name, length: f"SELECT prefix, row_number() OVER (PARTITION BY prefix ORDER BY weight DESC, phrase, row_id)::INT AS rank, row_id, weight, phrase, snippet FROM (SELECT *, unnest(list_transform(range(0, least(length(phrase), {length}) + 1), lambda k: substr(phrase, 1, k::INT))) AS prefix FROM {name}) QUALIFY rank <= 32"
     n = "CASE WHEN n IS NULL OR n > 32 OR n < 0 THEN 32 WHEN n < 1 THEN 1 ELSE n END"
     found = f"found AS (SELECT qid, translate(q,{UPLOW}) AS q, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, phrase, row_id)::INT AS rank, phrase, weight AS score, snippet, {n} AS n FROM requests JOIN c3 ON starts_with(phrase, translate(q,{UPLOW})) QUALIFY rank <= {n})"
-    vector = "v AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, floor(o_totalprice)::BIGINT AS weight FROM orders), r AS (SELECT c_custkey AS qid, (c_custkey * 37) % 12000 AS l, (c_custkey * 37) % 12000 + (c_custkey * 101) % 9000 - 10 AS u FROM customer)"
+    vector = "v AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, floor(o_totalprice)::BIGINT AS weight FROM orders), r AS (SELECT c_custkey AS qid, (c_custkey * 7919) % n AS l, (c_custkey * 7919) % n + (c_custkey * 104729) % n - 10 AS u FROM customer, (SELECT count(*) AS n FROM orders))"
     best = lambda i: f"WITH {vector}, ok AS (SELECT * FROM r WHERE l >= 0 AND l <= u AND u < (SELECT count(*) FROM v)), b AS (SELECT qid, max(weight) AS value, arg_max(idx, (weight, {i})) AS index FROM ok JOIN v ON idx BETWEEN l AND u GROUP BY qid) SELECT qid, value, index FROM r LEFT JOIN b USING (qid)"
     odd = "(phrase <> '' AND (weight > 2147483647 OR strlen(value) >= 8191))"
     rich = f"""' {{ "phrase": "' || {ESC("phrase")} || '", "score": ' || score || CASE WHEN snippet <> '' THEN ', "snippet": "' || {ESC("snippet")} || '"' ELSE '' END || ' }}'"""
@@ -146,7 +166,11 @@ def oracle_sql() -> dict[str, str]:
         "escape_special": f"SELECT doc_id, {ESC('text')} AS escaped FROM documents",
         "ascii_lower": f"SELECT doc_id, translate(text,{UPLOW}) AS lower FROM documents",
         "soundex_ref": f"WITH {C2}, coded AS (SELECT phrase, {d} AS d FROM c2) SELECT phrase, rpad(phrase[1] || {z}, 4, '0') AS code FROM coded",
-        "edit_distance_bytes": "SELECT doc_id, levenshtein(coalesce(w[2], ''), coalesce(w[3], '')) AS distance FROM (SELECT doc_id, regexp_split_to_array(text, '[ \\n]+') AS w FROM documents)",
+        "edit_distance_bytes": "SELECT doc_id, count(*) AS n_pairs, sum(x)::BIGINT AS total, max(x) AS largest FROM (SELECT doc_id, levenshtein(w[i], w[i + 1]) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '[ \\n]+') AS w FROM documents))) GROUP BY doc_id",
+        "suggest_long_prefix": sql_suggest(C1, "c1", "small bol", 16),
+        "suggest_naive": sql_suggest(C3, "c3", "sm", 32),
+        "suggest_fuzzy": f"WITH {C2}, coded AS (SELECT *, {d} AS d FROM c2), near AS (SELECT phrase, weight AS score, snippet, levenshtein(phrase, 'the') AS distance, row_id FROM coded WHERE rpad(phrase[1] || {z}, 4, '0') = 't000') SELECT phrase, score, snippet, distance::INT AS distance FROM near WHERE distance <= 2 ORDER BY distance, score DESC, phrase, row_id LIMIT 20",
+        "request_parse": "SELECT p_partkey AS qid, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name || CASE p_partkey % 3 WHEN 0 THEN 'A' || chr(0) WHEN 1 THEN 'é' ELSE '' END END AS q, (CASE WHEN p_partkey % 50 - 9 < 0 OR p_partkey % 50 - 9 > 32 THEN 32 WHEN p_partkey % 50 - 9 = 0 THEN 1 ELSE p_partkey % 50 - 9 END)::INT AS n, true AS no_y FROM part",
         "humanized_diff": f"""WITH n AS (SELECT o_orderkey, abs(s - 1000000)::BIGINT AS x FROM {num}), t AS (SELECT o_orderkey, x, x // 86400 AS dd, x // 604800 AS ww, x // 2419200 AS mm,
             lpad((x % 86400 // 3600)::VARCHAR, 2, '0') || ':' || lpad((x % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((x % 60)::VARCHAR, 2, '0') AS clock FROM n)
             SELECT o_orderkey, CASE WHEN x = 0 THEN 'just now' ELSE CASE WHEN mm > 0 THEN {part('mm', 'month')} ELSE '' END || CASE WHEN ww > 0 THEN {part('(ww % 4)', 'day')} ELSE '' END

@@ -68,27 +68,50 @@ def soundex(s: Column, width: int = 4) -> Column:
     return F.when(s == "", F.lit("")).otherwise(F.rpad(F.concat(F.substring(s, 1, 1), z), width, "0"))
 
 
+def leading_int(text: str) -> int:
+    """The integer that a text begins with, after white space and one sign; 0 without digits."""
+    body = text.lstrip(" \t\n\v\f\r")
+    sign = -1 if body[:1] == "-" else 1
+    body = body[1:] if body[:1] in ("+", "-") else body
+    digits = body[: next((i for i, c in enumerate(body) if c not in "0123456789"), len(body))]
+    return sign * int(digits or "0")
+
+
 def clamp_n(text: str | None, most: int = 32) -> int:
     """The number of results asked for: missing or too many give `most`, below 1 gives 1, negative wraps to `most`."""
     if text is None:
         return most
-    digits = text.lstrip(" \t\n\v\f\r")
-    sign = digits[:1]
-    digits = digits[1:] if sign in ("+", "-") else digits
-    n = 0
-    for c in digits:
-        if c not in "0123456789":
-            break
-        n = n * 10 + int(c)
-    if sign == "-" and n:
-        return most
-    return max(1, min(n, most))
+    n = leading_int(text)
+    return most if n < 0 else max(1, min(n, most))
 
 
 def clamp_n_column(n: Column, most: int = 32) -> Column:
     return F.when(n.isNull() | (n > most) | (n < 0), F.lit(most)).when(n < 1, F.lit(1)).otherwise(n).cast("int")
 
 
+def clamp_n_text(text: Column, most: int = 32) -> Column:
+    """clamp_n() of a text column."""
+    digits = F.regexp_extract(text, r"^[ \t\n\x0B\f\r]*[+-]?([0-9]*)", 1)
+    negative = text.rlike(r"^[ \t\n\x0B\f\r]*-[0-9]*[1-9]")
+    n = F.when(F.length(F.ltrim(digits, F.lit("0"))) > 9, F.lit(most)).otherwise(F.coalesce(digits.try_cast("int"), F.lit(0)))
+    return F.when(text.isNull() | negative, F.lit(most)).otherwise(F.greatest(F.lit(1), F.least(n, F.lit(most)))).cast("int")
+
+
+def percent_decode_column(text: Column) -> Column:
+    """percent_decode() of a text column, byte by byte. Bytes that are no UTF-8 become the replacement character."""
+    units = F.regexp_extract_all(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), F.lit(r"(?s)(%..|%.?\z|[^%])"), F.lit(1))
+    escaped = lambda u: F.regexp_replace(F.substring(u, 2, 2), "[^0-9a-fA-F]", "0")
+    code = lambda u: F.when(~u.startswith("%"), F.hex(F.encode(u, "ISO-8859-1"))).when(F.length(u) == 3, escaped(u)).otherwise(F.lit(""))
+    return F.decode(F.unhex(F.array_join(F.transform(units, code), "")), "UTF-8")
+
+
+def query_parameter(query: Column, name: str) -> Column:
+    """The value of parse_query() for one name; null without it."""
+    parts = F.filter(F.split(query, "&"), lambda x: (x != "") & (F.substring_index(x, "=", 1) == name))
+    last = F.element_at(parts, -1)
+    return F.when(F.size(parts) > 0, F.replace(F.substring(last, F.lit(len(name) + 1), F.length(last)), F.lit("="), F.lit("")))
+
+
 def percent_decode(text: str) -> str:
     """Lenient decoding: + stays, a bad hexadecimal digit counts as 0, an incomplete escape at the end goes."""
     raw, out, i = text.encode(), bytearray(), 0

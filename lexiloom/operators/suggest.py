@@ -35,9 +35,11 @@ def prefix_range(corpus: DataFrame, prefixes: DataFrame) -> DataFrame:
     parts = parts.withColumn("before", F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).select("part", "before")
     within = Window.partitionBy("part").orderBy("phrase", F.col("q").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     first = spread.withColumn("smaller", F.coalesce(F.sum("n").over(within), F.lit(0))).where("q is not null").join(parts, "part").select("q", (F.col("before") + F.col("smaller")).alias("first"))
-    lengths = q.select(F.char_length("q").alias("k")).distinct()
-    # every length is needed; k distinct ones take k^2 / 2 characters of prefixes, so their list stays small
-    starts = per.join(F.broadcast(lengths), F.col("k") <= F.char_length("phrase")).groupBy(F.substring("phrase", F.lit(1), F.col("k")).alias("q")).agg(F.sum("n").alias("n"))
+    lengths = F.transform(F.array_sort(F.collect_set(F.struct(F.char_length("q").alias("k")))), lambda x: x["k"])
+    # every length is needed; k distinct ones take k^2 / 2 characters of prefixes, so this one row stays small
+    every = q.agg(lengths.alias("lengths"))
+    cut = per.crossJoin(F.broadcast(every)).withColumn("k", F.explode(F.filter("lengths", lambda k: k <= F.char_length("phrase"))))
+    starts = cut.groupBy(F.substring("phrase", F.lit(1), F.col("k")).alias("q")).agg(F.sum("n").alias("n"))
     return first.join(starts, "q", "left").select("q", "first", (F.col("first") + F.coalesce("n", F.lit(0))).alias("last"))
 
 
@@ -65,10 +67,17 @@ def suggest_batch(index: DataFrame, corpus: DataFrame, requests: DataFrame, leng
     return short.unionByName(long)
 
 
+def naive_suggest(corpus: DataFrame, prefix: str, n: int = 16) -> DataFrame:
+    """What suggest() gives, by ranking every phrase that begins with the prefix; to compare with."""
+    q = ascii_lower(F.lit(prefix))
+    found = corpus.where(F.substring("phrase", F.lit(1), F.length(q)) == q)
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(*order()))).where(F.col("rank") <= n).select("rank", "phrase", F.col("weight").alias("score"), "snippet")
+
+
 def fuzzy_suggest(corpus: DataFrame, text: str, distance: int = 2, n: int = 16) -> DataFrame:
     """Phrases that sound like `text` and are at most `distance` edits away, nearest and heaviest first."""
     from lexiloom.functions.scalars import edit_distance, soundex
 
-    q = F.lit(text.lower())
+    q = ascii_lower(F.lit(text))
     near = corpus.where(soundex(F.col("phrase")) == soundex(q)).withColumn("distance", edit_distance(F.col("phrase"), q)).where(F.col("distance") <= distance)
     return near.orderBy("distance", *order()).limit(n).select("phrase", F.col("weight").alias("score"), "snippet", "distance")

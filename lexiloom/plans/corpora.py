@@ -57,8 +57,9 @@ def order_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range for every customer, some beyond the vector or turned round."""
-    c = table(spark, sf_dir, "customer")
-    low = (F.col("c_custkey") * 37) % 12000
-    high = low + (F.col("c_custkey") * 101) % 9000 - 10
+    """A range for every customer, spread over all orders; some beyond them or turned round."""
+    n = table(spark, sf_dir, "orders").agg(F.count("*").alias("n"))  # one row
+    c = table(spark, sf_dir, "customer").crossJoin(F.broadcast(n))
+    low = (F.col("c_custkey") * 7919) % F.col("n")
+    high = low + (F.col("c_custkey") * 104729) % F.col("n") - 10
     return c.select(F.col("c_custkey").alias("qid"), low.cast("long").alias("l"), high.cast("long").alias("u"))

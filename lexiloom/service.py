@@ -1,7 +1,11 @@
-"""The four requests of the server, over an immutable corpus and its prefix index."""
+"""The four requests of the server, over an immutable corpus and its prefix index.
+
+The texts of answers, their words and their line ends are fixed values, as clients compare them.
+"""
 
 from __future__ import annotations
 
+import functools
 import resource
 import time
 import uuid
@@ -12,12 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from lexiloom.functions.scalars import clamp_n, parse_query, percent_decode
+from lexiloom.functions.scalars import clamp_n, leading_int, parse_query, percent_decode
 from lexiloom.operators.render import render_rows
 from lexiloom.operators.suggest import LENGTH, order, prefix_index
 from lexiloom.sources import corpus as K
 
 
+#: Answers kept for the corpus in use.
+ANSWERS = 10_000
+
+
 def difference_text(a: int, b: int) -> str:
     """The difference of two times in words, as functions.scalars.time_difference gives it."""
     d = abs(int(b) - int(a))
@@ -47,12 +55,13 @@ class SuggestService:
         self.corpus: DataFrame | None = None
         self.index: DataFrame | None = None
         self.size, self.queries, self.building, self.started = 0, 0, False, time.time()
+        self.answers = self.top
 
     def import_(self, file: str, limit: int = -1) -> Response:
         began = time.time()
         try:
             lines = K.read_lines(self.spark, file)
-            if self.spark.read.text(file).isEmpty():
+            if not K.size_in_bytes(self.spark, file):
                 return Response(500, "Internal Server Error", "mmap(2) failed")
         except AnalysisException:
             return Response(404, "Not Found", f"The file '{file}' was not found")
@@ -64,6 +73,7 @@ class SuggestService:
             corpus = self.spark.read.schema(K.SCHEMA).parquet(f"{version}/corpus")
             prefix_index(corpus).repartitionByRange("prefix").sortWithinPartitions("prefix", "rank").write.parquet(f"{version}/index")
             self.corpus, self.index, self.size = corpus, self.spark.read.parquet(f"{version}/index"), n_added
+            self.answers = functools.lru_cache(ANSWERS)(self.top)
         finally:
             self.building = False
         return Response(200, "OK", f"Successfully added {n_added}/{n_lines}records from '{file}' in {int(time.time() - began)}second(s)\n")
@@ -72,8 +82,13 @@ class SuggestService:
         if self.building:
             return Response(412, "Busy", "Busy\n")
         began = time.time()
-        if self.corpus is not None:
-            K.export(self.corpus, file)
+        self.building = True
+        try:
+            K.export(self.corpus, file, single=not file.endswith("/"), spark=self.spark)
+        except OSError as e:
+            return Response(500, "Internal Server Error", f"{e}\n")
+        finally:
+            self.building = False
         return Response(200, "OK", f"Successfully wrote {self.size} records to output file '{file}' in {int(time.time() - began)}second(s)\n")
 
     def top(self, q: str, n: int) -> list[dict]:
@@ -90,7 +105,7 @@ class SuggestService:
         if self.building:
             return Response(412, "Busy", "")
         q = q.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-        out = Response(200, "OK", render_rows(q, self.top(q, clamp_n(n or None)), kind, callback))
+        out = Response(200, "OK", render_rows(q, self.answers(q, clamp_n(n or None)), kind, callback))
         out.headers["Content-Type"] = "text/plain; charset=UTF-8"
         return out
 
@@ -105,8 +120,7 @@ class SuggestService:
         if parts.path == "/face/suggest/":
             return self.suggest(percent_decode(p.get("q", "")), p.get("n"), percent_decode(p.get("type", "")), percent_decode(p.get("callback", "")))
         if parts.path == "/face/import/":
-            digits = p.get("limit", "").strip()
-            limit = int(digits) if digits.lstrip("-").isdigit() else 0
+            limit = leading_int(p.get("limit", ""))
             return self.import_(percent_decode(p.get("file", "")), limit if limit > 0 else -1)
         if parts.path == "/face/export/":
             return self.export(p.get("file", ""))

@@ -27,9 +27,10 @@ def parse_columns(line: Column) -> dict[str, Column]:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (line_no from 0, value) of one text file; only line feeds end lines. Numbers come from counts per
-    file split, so that no task sees all lines."""
-    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("mid"))
+    """Rows (line_no from 0, value) of a text file, or of the files of a folder in the order of their names; only line
+    feeds end lines. Numbers come from counts per file split, so that no task sees all lines."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"))
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", at.alias("at"), F.monotonically_increasing_id().alias("mid"))
     per = raw.groupBy("at").agg(F.count("*").alias("n"), F.min("mid").alias("mid0"))
     per = per.withColumn("before", F.sum("n").over(Window.orderBy("at")) - F.col("n"))  # one row a split
     return raw.join(per.select("at", "mid0", "before"), "at").select((F.col("before") + F.col("mid") - F.col("mid0")).alias("line_no"), "value")
@@ -91,12 +92,43 @@ def export_lines(corpus: DataFrame) -> DataFrame:
     return corpus.select("row_id", "phrase", F.concat(F.col("weight").cast("string"), F.lit("\t"), "phrase", F.lit("\t"), "snippet").alias("line"))
 
 
-def export(corpus: DataFrame, path: str) -> None:
-    """Write the lines in phrase order, as a folder of text files whose names keep the order; beside and then moved."""
-    spark = corpus.sparkSession
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    export_lines(corpus).repartitionByRange("phrase", "row_id").sortWithinPartitions("phrase", "row_id").select("line").write.text(beside)
-    here = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(here, True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), here)
+#: A file that marks a folder as an export, so that only such a folder is ever replaced.
+MARK = "_exported_lines"
+
+
+def export(corpus: DataFrame | None, path: str, single: bool = False, spark: SparkSession | None = None) -> None:
+    """Write the lines in phrase order: a folder of text files whose names keep the order, or one file with their bytes
+    one after the other. All is written beside and then moved; without a corpus there are no lines. Only a file, or a
+    folder that an export has made, is replaced; any other folder raises FileExistsError and is left alone."""
+    spark = spark or corpus.sparkSession
+    java, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    here, beside = java.Path(path), java.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex}")
+    fs = here.getFileSystem(conf)
+    replaced = fs.exists(here)
+    if replaced and fs.getFileStatus(here).isDirectory() and not fs.exists(java.Path(here, MARK)):
+        raise FileExistsError(f"{path} is a folder that no export has made")
+    lines = export_lines(corpus).repartitionByRange("phrase", "row_id").sortWithinPartitions("phrase", "row_id").select("line") if corpus is not None else spark.createDataFrame([], "line string")
+    lines.write.text(beside.toString())
+    if single:
+        parts, beside = beside, java.Path(f"{beside}.one")
+        out = fs.create(beside)
+        try:
+            for name in sorted(f.getPath().getName() for f in fs.listStatus(parts) if f.getPath().getName().startswith("part-")):
+                taken = fs.open(java.Path(parts, name))
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(taken, out, conf, False)
+                taken.close()
+        finally:
+            out.close()
+        fs.delete(parts, True)
+    else:
+        fs.create(java.Path(beside, MARK)).close()
+    if replaced:
+        fs.delete(here, fs.getFileStatus(here).isDirectory())
+    if not fs.rename(beside, here):
+        raise OSError(f"the export stays at {beside}, as it could not be moved to {path}")
+
+
+def size_in_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of the files of a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
