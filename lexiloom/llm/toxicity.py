@@ -41,6 +41,9 @@ SWAP_COST, DROP_SIGN, DROP_LETTERLIKE, DROP_DIGIT, DROP_SPACE = 1.0, 0.5, 4.0, 7
 DROP_AMONG_SIGNS, END_AMONG_SIGNS = 0.1, 1.5
 DIGIT = math.log(10)  # the cost of a run of one digit in a number
 RUN = re.compile(r"(\w)\1")
+REPEATED, NEIGHBOURS = re.compile(r"(\w)\1+"), re.compile(r"(\w)\1+(\w)\2+")
+#: The cost of another number of letters than the run has.
+SECOND_CHOICE = 0.5
 LEADING = re.compile(r"^[^\w@$!|(€+]+")
 TRAILING = re.compile(r"\W+$")
 
@@ -94,7 +97,7 @@ def arc(out: str, cost: float) -> tuple[str, float, list[int]]:
 def arcs_of(c: str, n: int) -> list[tuple[str, float, list[int]]]:
     """What n of the sign c (3: three or more) may stand for."""
     reads = [(c, 0.0)] if c.isalpha() else [(x, SWAP_COST) for x in STANDS_FOR.get(c, "")]
-    arcs = [arc(x * k, cost * k + (0.0 if n == k else 0.5)) for x, cost in reads for k in ((1, 2) if n > 1 else (1,))]
+    arcs = [arc(x * k, cost * k + (0.0 if n == k else SECOND_CHOICE)) for x, cost in reads for k in ((1, 2) if n > 1 else (1,))]
     if not c.isalpha():
         arcs.append(arc("", DROP_DIGIT if c.isalnum() else DROP_LETTERLIKE if c in STANDS_FOR else DROP_SIGN))
     return arcs
@@ -129,11 +132,26 @@ class Restorer(Kept):
         core = TRAILING.sub("", LEADING.sub("", word))
         if core.isalpha() and not RUN.search(core):
             return core
+        if core.isalpha() and not NEIGHBOURS.search(core):
+            return self.doubled(core)
         if not any(c.isalpha() or c in STANDS_FOR for c in core):
             return ""
         score, text = self.best(core)
         return text if score > -number_cost(core) else ""
 
+    def doubled(self, word: str) -> str:
+        """What best() gives for letters whose repeated runs do not touch: one letter or two in each. The letter that
+        follows a run makes the states one again, so each run is decided by the letters beside it."""
+        out, at, table = [], 0, self.table
+        for m in REPEATED.finditer(word):
+            a, b = m.span()
+            q, c, r = symbol(word[a - 1]) if a else EDGE, symbol(word[a]), symbol(word[b]) if b < len(word) else EDGE
+            one = table[(q * SYMBOLS + c) * SYMBOLS + r] - SECOND_CHOICE
+            two = table[(q * SYMBOLS + c) * SYMBOLS + c] + table[(c * SYMBOLS + c) * SYMBOLS + r] - (SECOND_CHOICE if b - a > 2 else 0.0)
+            out.append(word[at : a + 1 + (two > one)])
+            at = b
+        return "".join(out) + word[at:]
+
     def lattice(self, word: str) -> list[list[tuple[str, float, list[int]]]]:
         """For each run of one sign: what it may stand for, the channel's cost, and the symbols."""
         return [arcs_of(c, min(3, len(list(run)))) for c, run in itertools.groupby(word)]
@@ -216,8 +234,11 @@ class Restorer(Kept):
         end, drop = (END_AMONG_SIGNS, DROP_AMONG_SIGNS) if among_signs else (0.0, DROP_SPACE + DROP_SIGN * signs)
         return self._step(states, [[arc(" ", end), arc("", drop)]])
 
-    def gap(self, key: tuple[str, str]) -> bool:
-        """Whether the space between two words was put in, by the end and the beginning beside it."""
+    def gap(self, key: tuple[str, str] | None) -> bool:
+        """Whether the space between two words was put in, by the end and the beginning beside it; beside a piece, whose
+        key is None, it has to be decided with the piece."""
+        if key is None:
+            return True
         left, right = key
         (a, b), (c, d) = map(symbol, left[:2]), map(symbol, right[-2:])
         m = self.model
@@ -245,44 +266,53 @@ def words_of(text: str | None, restore: Restorer) -> set[str]:
     """The distinct restored words of a whole text, spaces that the channel put in removed."""
     if not text:
         return set()
-    ends, gaps, chains = restore.ends, restore.gaps, restore.chains
+    gaps, chains = restore.gaps, restore.chains
     tokens = text.lower().split()
-    words = {end[0] for end in map(ends.__getitem__, set(tokens)) if end}
-    pieces: list[str] = []
-    line, tail, joined = "", "", False  # the word so far, the end of its last part, whether it has several
-    for token in tokens:
-        end = ends[token]
-        if end is None:
-            pieces.append(token)
+    found = list(map(restore.ends.__getitem__, tokens))
+    words = {end[0] for end in set(found) if end}
+    # before which tokens something has to be decided: where a piece stands, or a space that was put in
+    keys = [(a[2], b[1]) if a and b else None for a, b in itertools.pairwise(found)]
+    events = [i for i, hit in enumerate(map(gaps.__getitem__, keys), 1) if hit]
+    if found and found[0] is None:
+        events.insert(0, 0)
+    n, i = len(tokens), 0
+    for event in events:
+        if event < i:
             continue
-        word, head, after = end
+        i = event
+        # the word so far, the end of its last part
+        line, tail = (found[i - 1][0], found[i - 1][2]) if i and found[i - 1] else ("", "")
+        joined, pieces = False, []
+        while i < n:
+            end = found[i]
+            if end is None:
+                pieces.append(tokens[i])
+                i += 1
+                continue
+            word, head, after = end
+            if pieces:
+                got, runs = chains[tail, tuple(pieces), head]
+                pieces = []
+                words.update(runs)
+                if len(got) > 1:
+                    words.add(line + got[0])
+                    words.update(got[1:-1])
+                    line = got[-1] + word
+                else:
+                    line += got[0] + word
+            elif tail and gaps[tail, head]:
+                line += word
+            else:
+                break
+            joined, tail = True, after
+            i += 1
         if pieces:
-            got, runs = chains[tail, tuple(pieces), head]
-            pieces = []
+            got, runs = restore.chain((tail, tuple(pieces), ""))
             words.update(runs)
-            if len(got) > 1:
-                words.add(line + got[0])
-                words.update(got[1:-1])
-                line = got[-1] + word
-            else:
-                line += got[0] + word
-            joined = True
-        elif tail and gaps[tail, head]:
-            line += word
-            joined = True
-        else:
-            if joined:
-                words.add(line)
-                joined = False
-            line = word
-        tail = after
-    if pieces:
-        got, runs = restore.chain((tail, tuple(pieces), ""))
-        words.update(runs)
-        words.add(line + got[0])
-        words.update(got[1:])
-    else:
-        words.add(line)
+            words.add(line + got[0])
+            words.update(got[1:])
+        elif joined:
+            words.add(line)
     words.discard("")
     return words
 
