@@ -326,19 +326,6 @@ def test_components(spark):
     assert all(got[v] == want[v] for v in got) and set(got) == {v for e in edges for v in e if e[0] != e[1]}
 
 
-def test_pipeline_stages(spark, tmp_path):
-    import corpus_pipeline
-
-    docs = plain.corpus(3, 80)
-    df = frame(spark, docs).select("doc_id", "text", "lang", "source", "n_chars")
-    df.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 0
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, df, str(tmp_path)).columns == df.columns, name
-
-
 def test_shingle_join_repeated_ids_with_other_texts(spark):
     a, b = (plain.prose(random.Random(i), 60) for i in (1, 2))
     out = fsjoin.join(frame(spark, [(1, a), (1, b), (2, a + " tail"), (3, b + " tail")])).collect()
