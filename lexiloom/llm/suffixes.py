@@ -6,19 +6,23 @@ taken only at anchors: in each window the GRAM-byte string with the least hash (
 several). Equal windows choose equal anchors, so every repeat meets at one; an anchor comes every 16
 bytes or so. Its windows in a document are consecutive, and together form a unit.
 
-1. Suffixes at anchors, as leading bytes and fingerprint, and their units are sorted by blocks
-   (multikey: by the suffix, ties by the unit, ties by document), cut at splitters sampled from the
-   data, and merged by range. A unit that has an earlier document is a repeat with all its windows. Of
-   suffixes with several units, the first document of each unit has its windows compared one by one.
+1. Suffixes at anchors, by their first GRAM bytes themselves, and their units are sorted by blocks
+   (multikey: by eight bytes, ties by the next, ties by the unit's fingerprint, ties by document), cut at
+   splitters sampled from the data, and merged by range. A unit that has an earlier document is a repeat
+   with all its windows. Of suffixes with several units, the first document of each unit has its windows
+   compared one by one. A splitter may fall inside a suffix that has many units, so that no suffix is too
+   long for one task; the suffix at either boundary of a range is then compared with the boundary's own,
+   and where they are equal it counts as one with several units, as others may lie beyond.
 2. Those windows are merged likewise; the windows with an earlier document are repeats.
 3. Blocks of documents join what came back for them, and the removed runs are cut.
 
 A block sends a suffix, unit or window once, with its smallest document, so that copies and frequent
-passages cost a row a block. No range is ever split inside a suffix, so boundaries need no comparison
-of neighbours beyond what the splitters ensure.
+passages cost a row a block; units come back by their number in the block. Leading bytes are compared as
+they are; what is behind them in a unit by 48 bits, and single windows by 64 bits of a polynomial hash.
 
 Defined results: null and empty texts have no bytes; a row with a null doc_id neither removes nor loses
-anything; rows with the same doc_id do not remove each other.
+anything; rows with the same doc_id do not remove each other; texts of any length are cut into strides;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +41,9 @@ WINDOW, GRAM = 50, 20
 SPAN = WINDOW - GRAM + 1
 BLOCK_BYTES, STRIDE, BUCKET_ROWS = 4_000_000, 1_000_000, 600_000
 NO_DOC = 2**63 - 1
+#: The words of a suffix and its unit, in the order of sorting.
+SUFFIX = ("s0", "s1", "s2")
+KEY = (*SUFFIX, "unit")
 VALUE = common.mix64(np.arange(1, 257, dtype=np.uint64))
 BASE = 0x9E3779B97F4A7C15
 
@@ -74,8 +81,19 @@ def strides(off: np.ndarray):
         i = j
 
 
+def leading(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The GRAM bytes from each position as three words, whose order is that of the bytes."""
+    out = []
+    for begin in range(0, GRAM, 8):
+        word = np.zeros(len(at), np.uint64)
+        for k in range(begin, begin + 8):
+            word = word << np.uint64(8) | (data[at + k].astype(np.uint64) if k < GRAM else np.uint64(0))
+        out.append(word)
+    return out
+
+
 def anchors(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """Units of a block: document, first and last window, suffix key, unit hash; positions in the block."""
+    """Units of a block: document, first and last window, leading bytes of the suffix, unit hash; positions in the block."""
     out = []
     for i, j, begin, end in strides(off):
         stop = min(end + WINDOW - 1, int(off[j]))
@@ -102,13 +120,11 @@ def anchors(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         lo = p[new]
         hi = p[np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)]
         a = anchor[lo]
-        lead = d[a].astype(np.uint64) << np.uint64(56) | d[a + 1].astype(np.uint64) << np.uint64(48)
-        suffix = lead | h(a, a + GRAM) >> np.uint64(16)
         unit = common.mix64(h(lo, hi + WINDOW) + (a - lo).astype(np.uint64)) >> np.uint64(16)  # of one suffix, 48 bits do
-        out.append((doc[lo], lo + begin, hi + begin, suffix, unit))
-    names = ("doc", "lo", "hi", "suffix", "unit")
+        out.append((doc[lo], lo + begin, hi + begin, *leading(d, a), unit))
+    names = ("doc", "lo", "hi", *KEY)
     if not out:
-        return {k: np.zeros(0, np.uint64 if k in ("suffix", "unit") else np.int64) for k in names}
+        return {k: np.zeros(0, np.uint64 if k in KEY else np.int64) for k in names}
     return dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True))
 
 
@@ -142,7 +158,7 @@ def packed(*arrays: np.ndarray) -> bytes:
     import zstandard
 
     parts = [a.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(len(arrays[0]).to_bytes(8, "little") + b"".join(parts))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(arrays[0]).to_bytes(8, "little"), *parts]))
 
 
 def split48(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +218,7 @@ def known_units(ids: np.ndarray, off: np.ndarray, data: np.ndarray) -> tuple[dic
     keep = ids[u["doc"]] != NO_DOC
     u = {k: v[keep] for k, v in u.items()}
     doc = ids[u["doc"]]
-    order = multikey_order(u["suffix"], u["unit"], doc)
+    order = multikey_order(*(u[k] for k in KEY), doc)
     return {k: v[order] for k, v in u.items()}, doc[order]
 
 
@@ -212,8 +228,38 @@ def cut_at(splitters: np.ndarray, keys: np.ndarray) -> list[tuple[int, int, int]
     return [(b, int(ends[b]), int(ends[b + 1])) for b in range(len(ends) - 1) if ends[b] < ends[b + 1]]
 
 
-def suffix_rows(blocks: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """Rows (bucket, block, payload): a block's suffixes and units, each once with its first document."""
+def places(splitters: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
+    """Where the splitters stand in sorted keys, both of several words, before equal keys."""
+    left, right = (np.searchsorted(keys[0], splitters[0], side) for side in ("left", "right"))
+    for i in np.flatnonzero(left < right):  # ties in the first word
+        lo, hi = left[i], right[i]
+        for words, points in zip(keys[1:], splitters[1:], strict=True):
+            lo, hi = (lo + np.searchsorted(words[lo:hi], points[i], side) for side in ("left", "right"))
+        left[i] = lo
+    return left
+
+
+def planes(words: np.ndarray) -> np.ndarray:
+    """The bytes of words, all first ones first; of sorted words most of them repeat."""
+    return words.view(np.uint8).reshape(len(words), -1).T.reshape(-1, len(words))
+
+
+def sent(keys: list[np.ndarray], doc: np.ndarray, several: np.ndarray) -> bytes:
+    s0, s1, s2, unit = keys
+    return packed(*planes(s0), *planes(s1), *planes((s2 >> np.uint64(32)).astype(np.uint32)), *split48(unit), doc, several)
+
+
+def received(blob: bytes) -> list[np.ndarray]:
+    """s0, s1, s2, unit, document and whether several of the block have it."""
+    *parts, low, high, doc, several = unpacked(blob, *[np.uint8] * GRAM, np.uint32, np.uint16, np.int64, np.uint8)
+    whole = lambda some, kind: np.ascontiguousarray(np.stack(some, 1)).view(kind).ravel()
+    s2 = whole(parts[16:], np.uint32).astype(np.uint64) << np.uint64(32)
+    return [whole(parts[:8], np.uint64), whole(parts[8:16], np.uint64), s2, low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), doc, several]
+
+
+def suffix_rows(blocks: DataFrame, splitters: list[np.ndarray]) -> DataFrame:
+    """Rows (bucket, block, begin, payload): a block's suffixes and units, each once with its first document; `begin`
+    is the number in the block of the first of them."""
 
     def run(batches):
         for batch in batches:
@@ -221,61 +267,75 @@ def suffix_rows(blocks: DataFrame, splitters: np.ndarray) -> DataFrame:
                 u, doc = known_units(*opened(row))
                 if not len(doc):
                     continue
-                first = firsts(u["suffix"], u["unit"])
-                start = np.flatnonzero(first)
+                start = np.flatnonzero(firsts(*(u[k] for k in KEY)))
                 last = np.append(start[1:], len(doc)) - 1
                 several = (doc[last] != doc[start]).astype(np.uint8)
-                s, t, d = u["suffix"][start], u["unit"][start], doc[start]
-                cuts = cut_at(splitters, s)
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in cuts], pa.int32()), pa.array([row["block"]] * len(cuts), pa.int64()), pa.array([packed(s[x:y], *split48(t[x:y]), d[x:y], several[x:y]) for _, x, y in cuts], pa.binary())], ["bucket", "block", "payload"])
+                keys, d = [u[k][start] for k in KEY], doc[start]
+                ends = np.concatenate([[0], places(splitters, keys), [len(d)]])
+                cuts = [(b, int(ends[b]), int(ends[b + 1])) for b in np.flatnonzero(ends[:-1] < ends[1:]).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in cuts], pa.int32()), pa.array([row["block"]] * len(cuts), pa.int64()), pa.array([x for _, x, _ in cuts], pa.int64()), pa.array([sent([k[x:y] for k in keys], d[x:y], several[x:y]) for _, x, y in cuts], pa.binary())], ["bucket", "block", "begin", "payload"])
 
-    return blocks.mapInArrow(run, "bucket int, block long, payload binary")
+    return blocks.mapInArrow(run, "bucket int, block long, begin long, payload binary")
 
 
-def sample_splitters(blocks: DataFrame, n: int) -> np.ndarray:
-    """n - 1 suffix keys that part a sample of at most 32 blocks' suffixes evenly; they only place rows."""
+def sample_splitters(blocks: DataFrame, n: int) -> list[np.ndarray]:
+    """n - 1 keys that part a sample of at most 32 blocks' units evenly; they only place rows."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 ids, off, data = opened(row)
-                u = anchors(data[: off[-1]], off)["suffix"]
-                yield pa.RecordBatch.from_arrays([common.binary([np.sort(u)[:: max(1, len(u) // 2000)]])], ["keys"])
+                u = anchors(data[: off[-1]], off)
+                order = multikey_order(*(u[k] for k in KEY))
+                some = order[:: max(1, len(order) // 2000)]
+                yield pa.RecordBatch.from_arrays([common.binary([u[k][some]]) for k in KEY], list(KEY))
 
+    none = [np.zeros(0, np.uint64)] * len(KEY)
     if n < 2:
-        return np.zeros(0, np.uint64)
+        return none
     ids = [r[0] for r in blocks.select("block").orderBy(F.xxhash64("block")).limit(32).collect()]
     some = blocks.where(F.col("block").isin(ids)).select("doc_ids", "offsets", "texts")
-    keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[0], np.uint64) for r in some.mapInArrow(run, "keys binary").collect())]))
-    return np.unique(keys[np.linspace(0, len(keys) - 1, n + 1).astype(int)[1:-1]]) if len(keys) else keys
+    got = some.mapInArrow(run, ", ".join(f"{k} binary" for k in KEY)).collect()
+    keys = [np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[k], np.uint64) for r in got)]) for k in KEY]
+    if not len(keys[0]):
+        return none
+    order = multikey_order(*keys)
+    picks = order[np.linspace(0, len(order) - 1, n + 1).astype(int)[1:-1]]
+    keys = [k[picks] for k in keys]
+    new = firsts(*keys)
+    return [k[new] for k in keys]
 
 
-def merged_suffixes(rows: DataFrame) -> DataFrame:
-    """Rows (block, payload): the units that matter to a block, each with its first document of all."""
+def merged_suffixes(rows: DataFrame, splitters: list[np.ndarray]) -> DataFrame:
+    """Rows (block, payload): the units that matter to a block by their numbers in it, each with its first document of
+    all, and whether its windows have to be compared one by one."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpacked(p, np.uint64, np.uint32, np.uint16, np.int64, np.uint8) for p in pdf["payload"]]
-        owner = np.repeat(pdf["block"].to_numpy(), [len(p[0]) for p in parts])
-        s, low, high, d, several = (np.concatenate(x) for x in zip(*parts, strict=True))
-        t = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-        order = multikey_order(s, t, d)
-        s, t, d, several, owner = s[order], t[order], d[order], several[order], owner[order]
-        unit = firsts(s, t)
-        number = np.cumsum(unit) - 1
-        mine = d[np.flatnonzero(unit)][number]  # first document of the unit
-        group = np.cumsum(firsts(s)) - 1
-        units = np.bincount(group, unit)[group]  # units of the suffix
-        spread = units > 1
+        parts = [received(p) for p in pdf["payload"]]
+        sizes = [len(p[0]) for p in parts]
+        owner = np.repeat(pdf["block"].to_numpy(), sizes)
+        number = np.concatenate([b + np.arange(n) for b, n in zip(pdf["begin"], sizes, strict=True)])
+        *keys, d, several = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = multikey_order(*keys, d)
+        keys, d, several, owner, number = [k[order] for k in keys], d[order], several[order], owner[order], number[order]
+        unit = firsts(*keys)
+        mine = d[np.flatnonzero(unit)][np.cumsum(unit) - 1]  # first document of the unit
+        group = np.cumsum(firsts(*keys[:3])) - 1
+        spread = (np.bincount(group, unit) > 1)[group]  # several units of the suffix
+        bucket = int(pdf["bucket"].iloc[0])
+        for at in (bucket - 1, bucket):  # the boundaries of the range: beyond them the suffix may go on
+            if 0 <= at < len(splitters[0]):
+                spread |= np.logical_and.reduce([k == p[at] for k, p in zip(keys[:3], splitters[:3], strict=True)])
         ask = spread & (d == mine)
         keep = (d > mine) | (several > 0) | ask
-        s, t, mine, ask, owner = s[keep], t[keep], mine[keep], ask[keep].astype(np.uint8), owner[keep]
-        order = np.argsort(owner, kind="stable")
+        mine, ask, owner, number = mine[keep], ask[keep].astype(np.uint8), owner[keep], number[keep]
+        order = np.lexsort((number, owner))
         owner = owner[order]
         out = []
         start = np.flatnonzero(firsts(owner)) if len(owner) else []
         for x, y in zip(start, [*start[1:], len(owner)], strict=True):
             o = order[x:y]
-            out.append((owner[x], packed(s[o], t[o], mine[o], ask[o])))
+            out.append((owner[x], packed(number[o].astype(np.uint32), mine[o], ask[o])))
         return pd.DataFrame(out, columns=["block", "payload"])
 
     return rows.groupBy("bucket").applyInPandas(merge, "block long, payload binary")
@@ -294,17 +354,15 @@ def matched_units(blocks: DataFrame, replies: DataFrame, buckets: int) -> DataFr
         for row in _block_rows(left) if len(right) else []:
             ids, off, data = opened(row)
             u, doc = known_units(ids, off, data)
-            parts = [unpacked(p, np.uint64, np.uint64, np.int64, np.uint8) for p in right["payload"]]
-            s, t, mine, ask = (np.concatenate(x) for x in zip(*parts, strict=True))
-            key = common.mix64(s) + t
-            order = np.argsort(key)
-            key, mine, ask = key[order], mine[order], ask[order]
-            have = common.mix64(u["suffix"]) + u["unit"]
-            at = np.minimum(np.searchsorted(key, have), len(key) - 1)
-            hit = key[at] == have
-            gone = hit & (mine[at] < doc)
+            parts = [unpacked(p, np.uint32, np.int64, np.uint8) for p in right["payload"]]
+            number, first_doc, asked = (np.concatenate(x) for x in zip(*parts, strict=True))
+            unit = np.cumsum(firsts(*(u[k] for k in KEY))) - 1
+            mine, ask = np.full(unit[-1] + 1, NO_DOC), np.zeros(unit[-1] + 1, np.uint8)
+            mine[number], ask[number] = first_doc, asked
+            mine, ask = mine[unit], ask[unit]
+            gone = mine < doc
             out.append((0, -1, row["block"], packed(*runs_of(u["lo"][gone], u["hi"][gone] + WINDOW, False))))
-            open_ = hit & (ask[at] > 0) & (mine[at] == doc)
+            open_ = (ask > 0) & (mine == doc)
             lo, n = u["lo"][open_], (u["hi"] - u["lo"])[open_] + 1
             if not n.sum():
                 continue
@@ -415,8 +473,8 @@ def remove_repeats(df: DataFrame, with_text: bool = False) -> DataFrame:
     blocks = common.materialize(blocks_of(df), "suffix-blocks")
     size = blocks.agg(F.count("*")).first()[0]
     buckets = max(1, round(size * BLOCK_BYTES / 13 / BUCKET_ROWS))
-    rows = suffix_rows(blocks, sample_splitters(blocks, buckets))
-    replies = common.materialize(merged_suffixes(rows), "suffix-replies")
+    splitters = sample_splitters(blocks, buckets)
+    replies = common.materialize(merged_suffixes(suffix_rows(blocks, splitters), splitters), "suffix-replies")
     common.free_shuffles(spark)
     found = common.materialize(matched_units(blocks, replies, buckets), "suffix-found", by=("kind",))
     common.discard(replies)
