@@ -1,15 +1,17 @@
 """Secret scans: three fixed kinds of spans, and more by an automaton inferred from them.
 
-One pass over the texts finds the fixed kinds (assign, access, hex) and the long tokens that none of
-them covers. Values of found credentials, a bounded sample of distinct ones (MAX_EXAMPLES), build a
-prefix tree over character classes; states whose outgoing frequencies agree within Hoeffding's bound
-are merged into a probabilistic automaton. Every long token is then scored by its likelihood under
-the automaton against a bigram model of all long tokens; those that look like the format are added
-as spans of kind `format`.
-
-Defined results: null and empty texts have no spans; with fewer than 8 distinct
-examples of 16 characters nothing is added; positions are
-code points with exclusive ends; repeated rows repeat; fixed spans always stay.
+One pass over the texts finds the fixed kinds (assign, access, hex) and the candidates that none of them
+covers: tokens of LEAST_LONG characters or more, and shorter ones of LEAST_SHORT or more that mix letters and
+digits. Values of found credentials, a bounded sample of distinct ones (MAX_EXAMPLES), build a prefix tree
+over character classes; states whose outgoing frequencies agree within Hoeffding's bound are merged into a
+probabilistic automaton. Every candidate is then scored by its likelihood under the automaton against a
+model of pairs of classes in all texts; those that look like the format are added as spans of kind `format`.
+The least score comes from examples that were held back. A short candidate has to reach SHORT_TOTAL in all.
+
+Defined results: null and empty texts have no spans; with fewer than 8 distinct examples of LEAST_LONG
+characters, too few to learn and hold back, nothing is added; positions are code points with exclusive ends;
+repeated rows repeat; fixed spans always stay; texts and tokens of any length are scanned whole; a null doc_id
+stays null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,11 +32,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "format")
+LEAST_LONG, LEAST_SHORT = 16, 8
 LONG = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHORT = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z+/_.=-]*+[0-9][A-Za-z0-9+/_.=-]*+")
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+MIXED = re.compile(r"(?=[^0-9]*[0-9])[^A-Za-z]*[A-Za-z]")
 SIGNS = "+/_.=-"
 
-MAX_EXAMPLES, ALPHA, QUANTILE, MARGIN = 1000, 0.05, 0.02, 0.4
+MAX_EXAMPLES, ALPHA, QUANTILE, MARGIN, SHORT_TOTAL = 1000, 0.05, 0.02, 0.4, 16.0
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_.=-")
 CLASS_OF = {c: i for i, cs in enumerate(CLASSES) for c in cs}
 K = len(CLASSES)
@@ -58,10 +63,13 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[str], list[t
                 if x.end() - x.start() >= 20:
                     spans.append((at + x.start(), 1, at + x.end()))
                     found.append(x[0])
-        for x in HEX.finditer(run):
+        for x in HEX.finditer(run):  # a run of fewer than LEAST_LONG characters holds none
             if x.end() - x.start() >= 24:
                 spans.append((at + x.start(), 2, at + x.end()))
                 found.append(x[0])
+    short = [m.span() for m in SHORT.finditer(text) if LEAST_SHORT <= m.end() - m.start() < LEAST_LONG]
+    if short:
+        runs = sorted(runs + short)
     spans.sort()
     rest, i, covered = [], 0, 0
     for a, b in runs:  # what the fixed spans leave of a run, without the sign that joins it to one
@@ -72,7 +80,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[str], list[t
             if x < y:
                 x += x > a and text[x] in SIGNS
                 y -= y < b and x < y and text[y - 1] in SIGNS
-                rest += [m.span() for m in TOKEN.finditer(text, x, y)]
+                rest += [m.span() for m in TOKEN.finditer(text, x, y) if m.end() - m.start() >= LEAST_LONG or MIXED.match(m[0])]
             if e is None:
                 break
             i, covered = i + 1, max(covered, e)
@@ -80,27 +88,62 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[str], list[t
     return [(k, s, e) for s, k, e in spans], found, rest
 
 
+def byte_classes() -> np.ndarray:
+    """The class of each byte, K for those that are in none."""
+    out = np.full(256, K, np.int64)
+    for c, k in CLASS_OF.items():
+        out[ord(c)] = k
+    return out
+
+
+def class_pairs(texts: list[str], classes: np.ndarray) -> np.ndarray:
+    """How often each class follows each other, or K anything else, in texts; (K + 1) K numbers."""
+    now = classes[np.frombuffer("\n".join(texts).encode(), np.uint8)]
+    before = np.concatenate([[K], now[:-1]])
+    return np.bincount((before * K + now)[now < K], minlength=(K + 1) * K)
+
+
 def scan(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Fixed spans, credentials and long tokens of every document, without the texts."""
+    """Fixed spans, credentials and candidates of every document, without the texts; and, where `pairs` is set, rows of
+    class pairs of the texts outside fixed spans, one a task."""
+    names = [*keep, "base", "found", "at", "tokens", "pairs"]
 
     def run(batches):
+        classes, pairs, like = byte_classes(), np.zeros((K + 1) * K, np.int64), None
         for batch in batches:
             for part in common.slices(batch, "text"):
-                rows = [base_spans(t or "") for t in part.column("text").to_pylist()]
-                texts = part.column("text").to_pylist()
-                yield pa.RecordBatch.from_arrays(
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                rows = [base_spans(t) for t in texts]
+                pairs += class_pairs([blanked(t, r[0]) for t, r in zip(texts, rows, strict=True)], classes)
+                like = pa.RecordBatch.from_arrays(
                     [
                         *(part.column(c) for c in keep),
                         pa.array([[f"{KINDS[k]}:{s}:{e}" for k, s, e in r[0]] for r in rows], pa.list_(pa.string())),
                         pa.array([r[1] for r in rows], pa.list_(pa.string())),
                         pa.array([[a for a, _ in r[2]] for r in rows], pa.list_(pa.int32())),
                         pa.array([[t[a:b] for a, b in r[2]] for t, r in zip(texts, rows, strict=True)], pa.list_(pa.string())),
+                        pa.nulls(len(texts), pa.binary()),
                     ],
-                    [*keep, "base", "found", "at", "tokens"],
+                    names,
                 )
+                yield like
+        if like is not None:
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, c.type) for c in like.columns[:-1]), common.binary([pairs])], names)
+
+    head = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    return df.select(*keep, "text").mapInArrow(run, f"{head}base array<string>, found array<string>, at array<int>, tokens array<string>, pairs binary")
 
-    head = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, "text").mapInArrow(run, f"{head}, base array<string>, found array<string>, at array<int>, tokens array<string>")
+
+def blanked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """A text with a blank in place of each fixed span."""
+    if not spans:
+        return text
+    out, at = [], 0
+    for _, s, e in spans:
+        if s >= at:
+            out += [text[at:s], " "]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
 
 
 class Automaton:
@@ -188,39 +231,42 @@ class Automaton:
         return float(total)
 
 
-def class_pairs(table: DataFrame) -> DataFrame:
-    """Rows (cell, n): pairs of classes in all long tokens, at most (K + 1) K rows."""
+def summed(table: DataFrame) -> DataFrame:
+    """The class pairs of all tasks, added up in at most 8 rows."""
 
     def run(batches):
         total = np.zeros((K + 1) * K, np.int64)
         for batch in batches:
-            for tokens in batch.column("tokens").to_pylist():
-                for t in tokens:
-                    before = K
-                    for c in t:
-                        k = CLASS_OF[c]
-                        total[before * K + k] += 1
-                        before = k
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(total[cell], pa.int64())], ["cell", "n"])
+            for x in batch.column("pairs").to_pylist():
+                total += np.frombuffer(x, np.int64)
+        yield pa.RecordBatch.from_arrays([common.binary([total])], ["pairs"])
 
-    return table.select("tokens").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return table.where("pairs is not null").select("pairs").repartition(8).mapInArrow(run, "pairs binary")
 
 
 def infer(table: DataFrame):
-    """The automaton, the background model and the least score of a credential; None without examples."""
-    examples = table.select(F.explode("found").alias("x")).where(F.length("x") >= 16).distinct().orderBy(F.xxhash64("x"), "x").limit(MAX_EXAMPLES)
+    """The automaton, the background model and the least score of a credential, of a scanned table; None without
+    examples."""
+    examples = table.select(F.explode("found").alias("x")).where(F.length("x") >= LEAST_LONG).distinct().orderBy(F.xxhash64("x"), "x").limit(MAX_EXAMPLES)
     examples = [r[0] for r in examples.collect()]
     if len(examples) < 8:
         return None
-    pairs = np.ones((K + 1, K))
-    for cell, n in class_pairs(table).collect():
-        pairs.flat[cell] += n
+    total = summed(table).collect()
+    pairs = np.ones((K + 1, K)) + sum(np.frombuffer(r[0], np.int64).reshape(K + 1, K) for r in total)
     background = np.log(pairs / pairs.sum(1, keepdims=True))
     held, learn = examples[::4], [x for i, x in enumerate(examples) if i % 4]
     machine = Automaton(learn)
     least = float(np.quantile([likeness(machine, background, x) for x in held], QUANTILE))
-    return machine, background, max(MARGIN, least)
+    return machine, background, max(MARGIN, least / 2)
+
+
+def looks_like(model, token: str) -> bool:
+    """Whether a candidate has the inferred format."""
+    if model is None:
+        return False
+    machine, background, least = model
+    score = likeness(machine, background, token)
+    return score >= least and (len(token) >= LEAST_LONG or score * len(token) >= SHORT_TOTAL)
 
 
 def likeness(machine: Automaton, background: np.ndarray, token: str) -> float:
@@ -242,7 +288,7 @@ def with_spans(table: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFra
             if got is None:
                 if len(kept) > 200_000:
                     kept.clear()
-                got = kept[t] = model is not None and likeness(model[0], model[1], t) >= model[2]
+                got = kept[t] = looks_like(model, t)
             return got
 
         for batch in batches:
@@ -256,7 +302,7 @@ def with_spans(table: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFra
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in n), pa.array(sha, pa.string()), pa.array(spans, pa.string())], [*keep, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*keep).schema)
-    return table.select(*keep, "base", "at", "tokens").mapInArrow(run, f"{head}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return table.where("pairs is null").select(*keep, "base", "at", "tokens").mapInArrow(run, f"{head}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def digest(df: DataFrame) -> DataFrame:
@@ -268,7 +314,9 @@ def digest(df: DataFrame) -> DataFrame:
 def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows of df with every found span replaced by `mark`, and n_chars, where there, counted anew."""
     common.prepare(df.sparkSession)
-    model = infer(common.materialize(scan(df), "secret-scan"))
+    table = common.materialize(scan(df, ()).select("found", "pairs"), "secret-scan")
+    model = infer(table)
+    common.discard(table)
     names = df.columns
 
     def clean(text: str | None) -> str | None:
@@ -276,8 +324,7 @@ def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             return text
         base, _, rest = base_spans(text)
         spans = [(s, e) for _, s, e in base]
-        if model is not None:
-            spans += [(a, b) for a, b in rest if likeness(model[0], model[1], text[a:b]) >= model[2]]
+        spans += [(a, b) for a, b in rest if looks_like(model, text[a:b])]
         out, at = [], 0
         for s, e in sorted(spans):
             if s >= at:
