@@ -14,10 +14,12 @@ wider caps are taken instead, so that more unlike vectors meet and are compared,
 
 Equal vectors of a label are one class. A filter with many classes is dealt in pairs of blocks; a pair
 counts only in the first filter that it shares, so that nothing is counted twice and no pairs are sent.
+Filters are first counted by class and number alone; then a class is sent to each filter that another one
+passes too, about EXPECTED times, as packed components in their own width and packed filter numbers.
 
 Defined results: rows whose label or vec_id is null, or whose vector is null, empty, zero or holds null
 or non-finite components, link with nothing; vectors of other lengths do not link; repeated rows count
-as other vectors.
+as other vectors; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -135,8 +137,10 @@ def unit_rows(arrays) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def passed(classes: DataFrame, count: int) -> DataFrame:
-    """Rows (rep, label, dim, filter) of the classes (rep, label, x)."""
+def passed(classes: DataFrame, count: int, kind: str) -> DataFrame:
+    """Rows (rep, label, dim, weight, x, filters) of the classes (rep, label, x, weight): the components packed as `kind`
+    and the numbers of all filters that the class passes, ascending, packed in 64 bits."""
+    names = ["rep", "label", "dim", "weight", "x", "filters"]
 
     def run(batches):
         codes: dict[int, ProductCode] = {}
@@ -144,11 +148,28 @@ def passed(classes: DataFrame, count: int) -> DataFrame:
             pdf = batch.to_pandas()
             dims = pdf["x"].map(len)
             for dim, some in pdf.groupby(dims):
-                code = codes.setdefault(dim, ProductCode(dim, count))
-                row, filt = code.decode(unit_rows(some["x"]))
-                yield pa.RecordBatch.from_arrays([pa.array(some["rep"].to_numpy()[row]), pa.array(some["label"].to_numpy()[row].astype(np.int64)), pa.array(np.full(len(row), dim, np.int32)), pa.array(filt)], ["rep", "label", "dim", "filter"])
+                if dim not in codes:
+                    codes[dim] = ProductCode(dim, count)
+                x = np.stack(some["x"].to_numpy())
+                row, filt = codes[dim].decode(unit_rows(x))
+                order = np.lexsort((filt, row))
+                lists = np.split(filt[order], np.searchsorted(row[order], np.arange(1, len(x))))
+                yield pa.RecordBatch.from_arrays([pa.array(some["rep"].to_numpy()), pa.array(some["label"].to_numpy().astype(np.int64)), pa.array(np.full(len(x), dim, np.int32)), pa.array(some["weight"].to_numpy()), common.binary(list(x.astype(kind))), common.binary(lists)], names)
 
-    return classes.select("rep", "label", "x").mapInArrow(run, "rep long, label long, dim int, filter long")
+    return classes.select("rep", "label", "x", "weight").mapInArrow(run, "rep long, label long, dim int, weight long, x binary, filters binary")
+
+
+def unpacked_filters(table: DataFrame) -> DataFrame:
+    """Rows (rep, label, dim, filter) of the packed filters."""
+
+    def run(batches):
+        for batch in batches:
+            lists = [np.frombuffer(f, np.int64) for f in batch.column("filters").to_pylist()]
+            row = np.repeat(np.arange(len(lists)), list(map(len, lists)))
+            if len(row):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("rep", "label", "dim")), pa.array(np.concatenate(lists))], ["rep", "label", "dim", "filter"])
+
+    return table.select("rep", "label", "dim", "filters").mapInArrow(run, "rep long, label long, dim int, filter long")
 
 
 def _links(x, rep, side, lo, hi, filters, here):
@@ -180,7 +201,7 @@ def _links(x, rep, side, lo, hi, filters, here):
     return u[~earlier], v[~earlier]
 
 
-def _cells(pdf: pd.DataFrame) -> pd.DataFrame:
+def _cells(pdf: pd.DataFrame, kind: str) -> pd.DataFrame:
     """Links of many pairs of blocks: their number a class, and the edges of a spanning forest."""
     pdf = pdf.sort_values(["label", "dim", "filter", "lo", "hi", "rep"]).reset_index(drop=True)
     key = pdf[["label", "dim", "filter", "lo", "hi"]].to_numpy()
@@ -198,7 +219,7 @@ def _cells(pdf: pd.DataFrame) -> pd.DataFrame:
 
     for s, e in zip(start, [*start[1:], len(pdf)], strict=True):
         _, _, here, lo, hi = key[s]
-        u, v = _links(unit_rows(pdf["x"].iloc[s:e]), rep[s:e], side[s:e], lo, hi, [list(f) for f in pdf["filters"].iloc[s:e]], here)
+        u, v = _links(unit_rows([np.frombuffer(x, kind) for x in pdf["x"].iloc[s:e]]), rep[s:e], side[s:e], lo, hi, [np.frombuffer(f, np.int64).tolist() for f in pdf["filters"].iloc[s:e]], here)
         n = np.bincount(u, weight[s:e][v], e - s) + np.bincount(v, weight[s:e][u], e - s)
         for i in np.flatnonzero(n):
             links[int(rep[s + i])] = links.get(int(rep[s + i]), 0) + int(n[i])
@@ -216,18 +237,20 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     rows = vectors(df.where("label is not null"), ("label",)).withColumn("label", F.col("label").cast("long"))
     classes = common.materialize(rows.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "cap-classes")
     count = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    met = common.materialize(passed(classes, count), "cap-passed")
+    kind = "<f4" if df.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+    held = common.materialize(passed(classes, count, kind), "cap-passed")
+    met = unpacked_filters(held)
     several = met.groupBy("label", "dim", "filter").agg(F.count("*").alias("members")).where("members > 1")
-    met = common.materialize(met.join(several, ["label", "dim", "filter"]), "cap-met")
-    lists = met.groupBy("rep", "label", "dim").agg(F.collect_list("filter").alias("filters"))  # about EXPECTED a class
-    full = met.join(lists, ["rep", "label", "dim"]).join(classes.select("rep", "label", "x", "weight", F.size("x").alias("dim")), ["rep", "label", "dim"])
+    met = met.join(several, ["label", "dim", "filter"])
+    full = met.join(held, ["rep", "label", "dim"])
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     full = full.withColumn("side", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     full = full.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("other", "members")
     full = common.materialize(full, "cap-full")
     batches = max(1, full.count() // BATCH_ROWS)
     full = full.withColumn("batch", F.pmod(F.xxhash64("label", "dim", "filter", "lo", "hi"), F.lit(batches)))
-    cells = common.materialize(full.groupBy("batch").applyInPandas(_cells, "rep long, links long, to long"), "cap-links")
+    cells = common.materialize(full.groupBy("batch").applyInPandas(lambda pdf: _cells(pdf, kind), "rep long, links long, to long"), "cap-links")
+    common.discard(full, held)
     links = cells.groupBy("rep").agg(F.sum("links").alias("links"))
     group = common.components(cells.where("rep <> `to`").select(F.col("rep").alias("a"), F.col("to").alias("b"))).withColumnRenamed("vertex", "rep")
     found = classes.select("label", "x", "rep", "weight").join(links, "rep", "left").join(group, "rep", "left")
