@@ -246,11 +246,11 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     full = full.withColumn("side", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     full = full.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("other", "members")
-    full = common.materialize(full, "cap-full")
-    batches = max(1, full.count() // BATCH_ROWS)
-    full = full.withColumn("batch", F.pmod(F.xxhash64("label", "dim", "filter", "lo", "hi"), F.lit(batches)))
+    sent = common.materialize(full, "cap-full")
+    batches = max(1, sent.count() // BATCH_ROWS)
+    full = sent.withColumn("batch", F.pmod(F.xxhash64("label", "dim", "filter", "lo", "hi"), F.lit(batches)))
     cells = common.materialize(full.groupBy("batch").applyInPandas(lambda pdf: _cells(pdf, kind), "rep long, links long, to long"), "cap-links")
-    common.discard(full, held)
+    common.discard(sent, held)
     links = cells.groupBy("rep").agg(F.sum("links").alias("links"))
     group = common.components(cells.where("rep <> `to`").select(F.col("rep").alias("a"), F.col("to").alias("b"))).withColumnRenamed("vertex", "rep")
     found = classes.select("label", "x", "rep", "weight").join(links, "rep", "left").join(group, "rep", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -32,9 +33,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and all runs in
+    one process, as in tests. Elsewhere other machines could not read it."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_lexiloom_dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = spark._lexiloom_dir = f"file://{tempfile.mkdtemp(prefix='lexiloom-')}"
     return at.rstrip("/")
 
@@ -48,18 +52,17 @@ def materialize(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame
     which cuts the lineage."""
     path = fresh_path(df.sparkSession, name)
     df.write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def discard(*tables: DataFrame, only: str = "") -> None:
     """Remove tables made by materialize() that no later plan reads; or only their folder of this name (column=value)."""
     for df in tables:
         spark = df.sparkSession
-        for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if only and not at.endswith(f"/{only}"):
-                continue
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{df._written_at}/{only}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -373,10 +373,12 @@ def train(df: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
         restore = Restorer(model)
         for batch in batches:
             words = [" ".join(sorted(words_of(t, restore))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(words)], ["toxic", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("toxic"), pa.array(words)], ["h", "toxic", "words"])
 
-    some = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic int, words string").limit(MAX_TRAIN).collect()
-    return model, fit([r[1].split() for r in some], np.array([min(1, max(0, r[0])) for r in some], int))
+    some = df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).join(F.broadcast(chosen), "doc_id").select("h", F.col("toxic").cast("int"), "text")
+    some = some.mapInArrow(run, "h long, toxic int, words string").orderBy("h", "toxic", "words").limit(MAX_TRAIN)  # ids may repeat; reruns agree
+    some = [r[1:] for r in some.collect()]
+    return model, fit([words.split() for _, words in some], np.array([min(1, max(0, toxic)) for toxic, _ in some], int))
 
 
 def score(df: DataFrame, model: np.ndarray, weights: dict[str, float], keep: list[str]) -> DataFrame:
