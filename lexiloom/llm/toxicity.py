@@ -18,6 +18,7 @@ not labelled; of repeated labels for one document the larger counts; repeated ro
 
 from __future__ import annotations
 
+import collections
 import functools
 import itertools
 import math
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from lexiloom.llm import common
 
 MAX_TRAIN, MAX_FEATURES, THRESHOLD = 8_000, 1500, 0.3
+#: Toxic documents that a feature needs.
+LEAST_TOXIC = 4
 SCORE = "__score"
 EDGE, FOREIGN, SYMBOLS = 26, 27, 28
 BEGINNINGS = (4, 6, 8)
@@ -321,26 +324,37 @@ def features(word: str) -> list[str]:
     return [f"{word}$", *(word[:k] for k in BEGINNINGS if len(word) >= k)]
 
 
-def fit(docs: list[list[str]], toxic: np.ndarray) -> dict[str, float]:
-    """Weights of the features that mark toxic documents; "" is the bias. One class only: its share."""
+def marks(words: str, known=None) -> set[str]:
+    """The distinct features of words joined by blanks; of those in `known` only."""
+    found = {f for w in words.split() for f in features(w)}
+    return found if known is None else found & known.keys()
+
+
+def fit(docs: list[str], toxic: np.ndarray) -> dict[str, float]:
+    """Weights of the features that mark toxic documents, of the words of each, joined by blanks; "" is the bias. One
+    class only: its share. Features of toxic documents are counted first, so that the many others take no memory."""
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     base = math.log((n1 + 0.5) / (n0 + 0.5))
     if not n1 or not n0:
         return {"": base}
-    seen: dict[str, list[int]] = {}
-    for i, words in enumerate(docs):
-        for f in {f for w in words for f in features(w)}:
-            seen.setdefault(f, [0, 0])[toxic[i]] += 1
+    often = collections.Counter()
+    for i in np.flatnonzero(toxic):
+        often.update(marks(docs[i]))
+    seen = {f: [0, c1] for f, c1 in often.items() if c1 >= LEAST_TOXIC}
+    del often
+    for i in np.flatnonzero(toxic == 0):
+        for f in marks(docs[i], seen):
+            seen[f][0] += 1
     gain = []
     for f, (c0, c1) in seen.items():
         p = (c0 + c1) / (n0 + n1)
         z = (c1 / n1 - c0 / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-        if c1 >= 4 and z > 4.5 and c1 / n1 > 3 * (c0 + 0.5) / n0:
+        if z > 4.5 and c1 / n1 > 3 * (c0 + 0.5) / n0:
             gain.append((-z, f))
     names = {f: j for j, (_, f) in enumerate(sorted(gain)[:MAX_FEATURES])}
     rows, cols = [], []
     for i, words in enumerate(docs):
-        for j in sorted({names[f] for w in words for f in features(w) if f in names}):
+        for j in sorted(names[f] for f in marks(words, names)):
             rows.append(i)
             cols.append(j)
     rows, cols = np.array(rows, int), np.array(cols, int)
@@ -378,7 +392,7 @@ def train(df: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
     some = df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).join(F.broadcast(chosen), "doc_id").select("h", F.col("toxic").cast("int"), "text")
     some = some.mapInArrow(run, "h long, toxic int, words string").orderBy("h", "toxic", "words").limit(MAX_TRAIN)  # ids may repeat; reruns agree
     some = [r[1:] for r in some.collect()]
-    return model, fit([words.split() for _, words in some], np.array([min(1, max(0, toxic)) for toxic, _ in some], int))
+    return model, fit([words for _, words in some], np.array([min(1, max(0, toxic)) for toxic, _ in some], int))
 
 
 def score(df: DataFrame, model: np.ndarray, weights: dict[str, float], keep: list[str]) -> DataFrame:
