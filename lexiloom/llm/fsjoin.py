@@ -214,7 +214,7 @@ def postings(df: DataFrame, level: np.ndarray) -> DataFrame:
                 keep = n - (PERCENT * n + 99) // 100 + 1
                 place = np.arange(len(d)) - first[d]
                 pick = place < keep[d]
-                seen.append((key[pick].view(np.int64), set_id[d[pick]], n[d[pick]].astype(np.int32), place[pick].astype(np.int32), (typical[d[pick]] * 256).astype(np.int32)))
+                seen.append((key[pick].view(np.int64), set_id[d[pick]], n[d[pick]].astype(np.int64), place[pick], (typical[d[pick]] * 256).astype(np.int32)))
             if not seen:
                 continue
             token, set_ids, n, place, typical = (np.concatenate(x) for x in zip(*seen, strict=True))
@@ -226,7 +226,7 @@ def postings(df: DataFrame, level: np.ndarray) -> DataFrame:
                 some = order[a : a + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (token, set_ids, n, place, typical)], ["token", "set_id", "n", "place", "typical"])
 
-    return df.select("text").mapInArrow(run, "token long, set_id long, n int, place int, typical int")
+    return df.select("text").mapInArrow(run, "token long, set_id long, n long, place long, typical int")
 
 
 def dealt(bound: float, turn: int):
@@ -274,7 +274,7 @@ def shared(table: DataFrame, bound: float) -> DataFrame:
 
     rows = table.withColumn("part", dealt(bound, 0)).withColumn("many", deals(bound) > 1)
     rows = rows.repartition("token", "part").sortWithinPartitions("token", "part", F.desc("typical"), "set_id")
-    return rows.select("token", "part", "many", *names).mapInArrow(run, "token long, lead long, n_lead int, place_lead int, set_id long, n int, place int")
+    return rows.select("token", "part", "many", *names).mapInArrow(run, "token long, lead long, n_lead long, place_lead long, set_id long, n long, place long")
 
 
 def neighbours(table: DataFrame, bound: float, turn: int) -> DataFrame:
@@ -292,13 +292,13 @@ def neighbours(table: DataFrame, bound: float, turn: int) -> DataFrame:
                 got = [np.concatenate([h, x]) for h, x in zip(held, got, strict=True)]
             held = [x[-1:] for x in got]
             (t, p, a, n_a, place_a, c), (t2, p2, b, n_b, place_b, c2) = [x[:-1] for x in got], [x[1:] for x in got]
-            n, rest = n_a.astype(np.int64) + n_b, np.minimum(n_a - place_a, n_b - place_b).astype(np.int64)
-            keep = (t == t2) & (p == p2) & (c != c2) & (100 * np.minimum(n_a, n_b).astype(np.int64) >= PERCENT * np.maximum(n_a, n_b).astype(np.int64)) & ((100 + PERCENT) * rest >= PERCENT * n)
+            n, rest = n_a + n_b, np.minimum(n_a - place_a, n_b - place_b)
+            keep = (t == t2) & (p == p2) & (c != c2) & (100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)) & ((100 + PERCENT) * rest >= PERCENT * n)
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, n_a, n_b)], ["a", "b", "n_a", "n_b"])
 
     rows = table.withColumn("part", dealt(bound, turn))
     rows = rows.repartition("token", "part").sortWithinPartitions("token", "part", F.xxhash64("set_id", "token", F.lit(turn)), "set_id")
-    met = _ordered(rows.select("token", "part", *names).mapInArrow(run, "a long, b long, n_a int, n_b int")).distinct()
+    met = _ordered(rows.select("token", "part", *names).mapInArrow(run, "a long, b long, n_a long, n_b long")).distinct()
     order = F.xxhash64("a", "b", F.lit(turn))
     first = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(order, "a", "b"))
     met = met.withColumn("at_a", first("a")).withColumn("at_b", first("b"))
@@ -367,12 +367,12 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            n = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy().astype(np.int64)) * (100 - PERCENT)
+            n = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) * (100 - PERCENT)
             far = np.array([differences(x, y) for x, y in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)], np.int64)
             yield batch.select(names).take(pa.array(np.flatnonzero((100 + PERCENT) * far <= n)))
 
     met = pairs.join(side("a"), "a").join(side("b"), "b").select(*names, "bits_a", "bits_b")
-    return met.mapInArrow(run, "a long, b long, n_a int, n_b int, rep_a long, rep_b long")
+    return met.mapInArrow(run, "a long, b long, n_a long, n_b long, rep_a long, rep_b long")
 
 
 def segments(df: DataFrame, pairs: DataFrame, level: np.ndarray, cuts: np.ndarray) -> DataFrame:
@@ -473,6 +473,8 @@ def _classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         known = common.materialize(pairs.join(rep("a"), "a").join(rep("b"), "b"), "fs-known")
         pairs = common.materialize(plausible(known, classes), "fs-pairs")
         common.discard(known)
+        if pairs.isEmpty():  # no text has to be read again
+            return pairs.select("a", "b")
         cut = segments(df, pairs, level, cuts)
         if repeats:
             cut = cut.dropDuplicates(["doc_id", "set_id", "fragment"])
@@ -492,6 +494,8 @@ def _classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     while (n_open := held.select("component").distinct().count()) > 1:
         turn += 1
         pairs = common.materialize(neighbours(held, bound, turn).join(tried, ["a", "b"], "left_anti"), "fs-tried")
+        if pairs.isEmpty():
+            break
         found = compare(pairs)
         merged = common.materialize(common.components(_between(found, held)), "fs-groups")
         tried, links = tried.unionByName(pairs), links.unionByName(found)
