@@ -9,11 +9,15 @@ bytes or so. Its windows in a document are consecutive, and together form a unit
 1. Suffixes at anchors, by their first GRAM bytes themselves, and their units are sorted by blocks
    (multikey: by eight bytes, ties by the next, ties by the unit's fingerprint, ties by document), cut at
    splitters sampled from the data, and merged by range. A unit that has an earlier document is a repeat
-   with all its windows. Of suffixes with several units, the first document of each unit has its windows
-   compared one by one. A splitter may fall inside a suffix that has many units, so that no suffix is too
-   long for one task; the suffix at either boundary of a range is then compared with the boundary's own,
-   and where they are equal it counts as one with several units, as others may lie beyond.
-2. Those windows are merged likewise; the windows with an earlier document are repeats.
+   with all its windows. Of suffixes with several units, the first document of each unit has windows
+   compared one by one: those that begin SIDE bytes or more before the anchor if another unit has the same
+   SIDE bytes there, the others if another has the same bytes behind it, by 16 bits of their hashes. Equal
+   windows hold one or the other, so none is lost, and most chance neighbours send nothing. A splitter may
+   fall inside a suffix that has many units, so that no suffix is too long for one task; the suffix at
+   either boundary of a range is then compared with the boundary's own, and where they are equal all its
+   windows are compared, as other units may lie beyond.
+2. Those windows are merged likewise; the windows with an earlier document are repeats. A block hears only
+   of documents before its own first.
 3. Blocks of documents join what came back for them, and the removed runs are cut.
 
 A block sends a suffix, unit or window once, with its smallest document, so that copies and frequent
@@ -39,11 +43,16 @@ from lexiloom.llm import common
 
 WINDOW, GRAM = 50, 20
 SPAN = WINDOW - GRAM + 1
+SIDE = (WINDOW - GRAM) // 2
 BLOCK_BYTES, STRIDE, BUCKET_ROWS = 4_000_000, 1_000_000, 600_000
+#: Windows are merged in so many turns, each of which removes what it has read.
+TURNS = 4
 NO_DOC = 2**63 - 1
 #: The words of a suffix and its unit, in the order of sorting.
 SUFFIX = ("s0", "s1", "s2")
 KEY = (*SUFFIX, "unit")
+#: What stands before and behind the anchor, by 16 bits; 0 where the unit has no windows on that side.
+SIDES = ("left", "right")
 VALUE = common.mix64(np.arange(1, 257, dtype=np.uint64))
 BASE = 0x9E3779B97F4A7C15
 
@@ -93,7 +102,8 @@ def leading(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def anchors(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """Units of a block: document, first and last window, leading bytes of the suffix, unit hash; positions in the block."""
+    """Units of a block: document, first and last window, anchor, hashes of its sides, leading bytes of the suffix, unit
+    hash; positions in the block."""
     out = []
     for i, j, begin, end in strides(off):
         stop = min(end + WINDOW - 1, int(off[j]))
@@ -121,13 +131,32 @@ def anchors(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         hi = p[np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)]
         a = anchor[lo]
         unit = common.mix64(h(lo, hi + WINDOW) + (a - lo).astype(np.uint64)) >> np.uint64(16)  # of one suffix, 48 bits do
-        out.append((doc[lo], lo + begin, hi + begin, *leading(d, a), unit))
-    names = ("doc", "lo", "hi", *KEY)
+        out.append((doc[lo], lo + begin, hi + begin, a + begin, *sides(h, lo, hi, a), *leading(d, a), unit))
+    names = ("doc", "lo", "hi", "at", *SIDES, *KEY)
     if not out:
-        return {k: np.zeros(0, np.uint64 if k in KEY else np.int64) for k in names}
+        return {k: np.zeros(0, np.uint64 if k in KEY else np.uint16 if k in SIDES else np.int64) for k in names}
     return dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True))
 
 
+def sides(h, lo: np.ndarray, hi: np.ndarray, a: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the SIDE bytes before the anchors, which each window holds that begins there or earlier, and of the
+    bytes behind them that all other windows hold; 0 without such windows."""
+    out = []
+    for some, begin, end in ((lo <= a - SIDE, a - SIDE, a), (hi > a - SIDE, a + GRAM, a - SIDE + 1 + WINDOW)):
+        key = np.zeros(len(a), np.uint16)
+        key[some] = h(begin[some], end[some]) % np.uint64(0xFFFF) + np.uint64(1)
+        out.append(key)
+    return out
+
+
+def side_runs(u: dict[str, np.ndarray], ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows (first, number) of units that are asked for the windows left (1), right (2) or both (3)."""
+    cut = np.clip(u["at"] - SIDE + 1, u["lo"], u["hi"] + 1)  # the first window that is not left
+    lo, end = np.where(ask & 1, u["lo"], cut), np.where(ask & 2, u["hi"] + 1, cut)
+    some = lo < end
+    return lo[some], (end - lo)[some]
+
+
 def multikey_order(*words: np.ndarray) -> np.ndarray:
     """The order by several words: by the first, and only where that ties by the next, and so on."""
     order = np.argsort(words[0])
@@ -258,8 +287,8 @@ def received(blob: bytes) -> list[np.ndarray]:
 
 
 def suffix_rows(blocks: DataFrame, splitters: list[np.ndarray]) -> DataFrame:
-    """Rows (bucket, block, begin, payload): a block's suffixes and units, each once with its first document; `begin`
-    is the number in the block of the first of them."""
+    """Rows (bucket, block, begin, payload, near): a block's suffixes and units, each once with its first document, and
+    their sides; `begin` is the number in the block of the first of them."""
 
     def run(batches):
         for batch in batches:
@@ -270,12 +299,14 @@ def suffix_rows(blocks: DataFrame, splitters: list[np.ndarray]) -> DataFrame:
                 start = np.flatnonzero(firsts(*(u[k] for k in KEY)))
                 last = np.append(start[1:], len(doc)) - 1
                 several = (doc[last] != doc[start]).astype(np.uint8)
-                keys, d = [u[k][start] for k in KEY], doc[start]
+                keys, near, d = [u[k][start] for k in KEY], [u[k][start] for k in SIDES], doc[start]
                 ends = np.concatenate([[0], places(splitters, keys), [len(d)]])
                 cuts = [(b, int(ends[b]), int(ends[b + 1])) for b in np.flatnonzero(ends[:-1] < ends[1:]).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in cuts], pa.int32()), pa.array([row["block"]] * len(cuts), pa.int64()), pa.array([x for _, x, _ in cuts], pa.int64()), pa.array([sent([k[x:y] for k in keys], d[x:y], several[x:y]) for _, x, y in cuts], pa.binary())], ["bucket", "block", "begin", "payload"])
+                payload = pa.array([sent([k[x:y] for k in keys], d[x:y], several[x:y]) for _, x, y in cuts], pa.binary())
+                sides_of = pa.array([packed(*(k[x:y] for k in near)) for _, x, y in cuts], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in cuts], pa.int32()), pa.array([row["block"]] * len(cuts), pa.int64()), pa.array([x for _, x, _ in cuts], pa.int64()), payload, sides_of], ["bucket", "block", "begin", "payload", "near"])
 
-    return blocks.mapInArrow(run, "bucket int, block long, begin long, payload binary")
+    return blocks.mapInArrow(run, "bucket int, block long, begin long, payload binary, near binary")
 
 
 def sample_splitters(blocks: DataFrame, n: int) -> list[np.ndarray]:
@@ -308,7 +339,7 @@ def sample_splitters(blocks: DataFrame, n: int) -> list[np.ndarray]:
 
 def merged_suffixes(rows: DataFrame, splitters: list[np.ndarray]) -> DataFrame:
     """Rows (block, payload): the units that matter to a block by their numbers in it, each with its first document of
-    all, and whether its windows have to be compared one by one."""
+    all, and which of its windows have to be compared one by one: left (1), right (2) or both (3)."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [received(p) for p in pdf["payload"]]
@@ -316,24 +347,28 @@ def merged_suffixes(rows: DataFrame, splitters: list[np.ndarray]) -> DataFrame:
         owner = np.repeat(pdf["block"].to_numpy(), sizes)
         number = np.concatenate([b + np.arange(n) for b, n in zip(pdf["begin"], sizes, strict=True)])
         *keys, d, several = (np.concatenate(x) for x in zip(*parts, strict=True))
+        near = (np.concatenate(x) for x in zip(*(unpacked(p, np.uint16, np.uint16) for p in pdf["near"]), strict=True))
         order = multikey_order(*keys, d)
         keys, d, several, owner, number = [k[order] for k in keys], d[order], several[order], owner[order], number[order]
         unit = firsts(*keys)
         mine = d[np.flatnonzero(unit)][np.cumsum(unit) - 1]  # first document of the unit
         group = np.cumsum(firsts(*keys[:3])) - 1
-        spread = (np.bincount(group, unit) > 1)[group]  # several units of the suffix
+        spread = np.zeros(len(d), bool)
         bucket = int(pdf["bucket"].iloc[0])
         for at in (bucket - 1, bucket):  # the boundaries of the range: beyond them the suffix may go on
             if 0 <= at < len(splitters[0]):
                 spread |= np.logical_and.reduce([k == p[at] for k, p in zip(keys[:3], splitters[:3], strict=True)])
-        ask = spread & (d == mine)
-        keep = (d > mine) | (several > 0) | ask
-        mine, ask, owner, number = mine[keep], ask[keep].astype(np.uint8), owner[keep], number[keep]
+        ask = spread.astype(np.uint8) * np.uint8(3)
+        for bit, side in enumerate(near):
+            ask |= shared(group, side[order], unit) << np.uint8(bit)
+        ask[d != mine] = 0
+        keep = (d > mine) | (several > 0) | (ask > 0)
+        mine, ask, owner, number = mine[keep], ask[keep], owner[keep], number[keep]
         order = np.lexsort((number, owner))
         owner = owner[order]
         out = []
         start = np.flatnonzero(firsts(owner)) if len(owner) else []
-        for x, y in zip(start, [*start[1:], len(owner)], strict=True):
+        for x, y in zip(start, [*start[1:], len(owner)][: len(start)], strict=True):
             o = order[x:y]
             out.append((owner[x], packed(number[o].astype(np.uint32), mine[o], ask[o])))
         return pd.DataFrame(out, columns=["block", "payload"])
@@ -341,13 +376,22 @@ def merged_suffixes(rows: DataFrame, splitters: list[np.ndarray]) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(merge, "block long, payload binary")
 
 
+def shared(group: np.ndarray, side: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """1 where several units of a group have the same side; `unit` marks the first row of each."""
+    out = np.zeros(len(group), np.uint8)
+    some = np.flatnonzero((np.bincount(group, unit) > 1)[group] & (side > 0))
+    _, at, n = np.unique(group[some] << 16 | side[some], return_inverse=True, return_counts=True)
+    out[some] = (np.bincount(at, unit[some], len(n)) > 1)[at]
+    return out
+
+
 def _block_rows(left: pd.DataFrame) -> list[dict]:
     return left.to_dict("records")
 
 
 def matched_units(blocks: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
     """Rows (kind, bucket, block, payload). Kind 0: removed runs (begin, end) of a block; 1: runs of windows
-    to compare (first, number); 2: the hashes of these by bucket, each with its first document."""
+    to compare (first, number); from 2 on, by turn: the hashes of these by bucket, each with its first document."""
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -363,7 +407,7 @@ def matched_units(blocks: DataFrame, replies: DataFrame, buckets: int) -> DataFr
             gone = mine < doc
             out.append((0, -1, row["block"], packed(*runs_of(u["lo"][gone], u["hi"][gone] + WINDOW, False))))
             open_ = (ask > 0) & (mine == doc)
-            lo, n = u["lo"][open_], (u["hi"] - u["lo"])[open_] + 1
+            lo, n = side_runs({k: v[open_] for k, v in u.items()}, ask[open_])
             if not n.sum():
                 continue
             o = np.argsort(lo)
@@ -374,7 +418,7 @@ def matched_units(blocks: DataFrame, replies: DataFrame, buckets: int) -> DataFr
             first = firsts(w)
             w, d = w[first], d[first]
             for b, x, y in cut_at(np.array([k * ((1 << 64) // buckets) for k in range(1, buckets)], np.uint64), w):
-                out.append((2, b, row["block"], packed(w[x:y], d[x:y])))
+                out.append((2 + b % TURNS, b, row["block"], packed(w[x:y], d[x:y])))
         return pd.DataFrame(out, columns=["kind", "bucket", "block", "payload"])
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(match, "kind int, bucket int, block long, payload binary")
@@ -397,7 +441,7 @@ def _window_hashes(data: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def merged_windows(rows: DataFrame) -> DataFrame:
-    """Rows (block, payload): windows of a block that also start in an earlier document, with the first."""
+    """Rows (block, payload): windows of a block that also start in a document before the block's first one, with it."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [unpacked(p, np.uint64, np.int64) for p in pdf["payload"]]
@@ -407,9 +451,10 @@ def merged_windows(rows: DataFrame) -> DataFrame:
         w, d, owner = w[order], d[order], owner[order]
         first = firsts(w)
         mine = d[np.flatnonzero(first)][np.cumsum(first) - 1]
+        w, mine, owner = (x[mine < d] for x in (w, mine, owner))
         order = np.argsort(owner, kind="stable")
         out, start = [], np.flatnonzero(firsts(owner[order])) if len(owner) else []
-        for x, y in zip(start, [*start[1:], len(owner)], strict=True):
+        for x, y in zip(start, [*start[1:], len(owner)][: len(start)], strict=True):
             o = order[x:y]
             out.append((owner[order[x]], packed(w[o], mine[o])))
         return pd.DataFrame(out, columns=["block", "payload"])
@@ -438,18 +483,16 @@ def cut_texts(blocks: DataFrame, found: DataFrame, with_text: bool) -> DataFrame
             ids, off, data = opened(row)
             spans = [np.stack(unpacked(p, np.int64, np.int64)) for p in right["payload"][right["kind"] == 0]]
             pending = [unpacked(p, np.int64, np.int64) for p in right["payload"][right["kind"] == 1]]
-            known = [unpacked(p, np.uint64, np.int64) for p in right["payload"][right["kind"] == 3]]
-            if pending and known:
-                w, mine = (np.concatenate(x) for x in zip(*known, strict=True))
-                o = np.argsort(w)
+            known = [unpacked(p, np.uint64, np.int64) for p in right["payload"][right["kind"] == 2]]
+            for lo, n in pending:
+                have, d, p = open_windows(ids, off, data, lo, n)
+                w, mine = (np.concatenate(x) for x in zip((have, d), *known, strict=True))
+                o = multikey_order(w, mine)
                 w, mine = w[o], mine[o]
-                for lo, n in pending:
-                    if not len(lo):
-                        continue
-                    have, d, p = open_windows(ids, off, data, lo, n)
-                    at = np.minimum(np.searchsorted(w, have), len(w) - 1)
-                    gone = (w[at] == have) & (mine[at] < d)
-                    spans.append(np.stack([p[gone], p[gone] + WINDOW]))
+                first = firsts(w)
+                w, mine = w[first], mine[first]
+                gone = mine[np.searchsorted(w, have)] < d
+                spans.append(np.stack([p[gone], p[gone] + WINDOW]))
             begin, end = np.concatenate(spans, axis=1) if spans else np.zeros((2, 0), np.int64)
             doc = np.searchsorted(off, begin, "right") - 1
             o = np.argsort(doc, kind="stable")
@@ -479,8 +522,10 @@ def remove_repeats(df: DataFrame, with_text: bool = False) -> DataFrame:
     found = common.materialize(matched_units(blocks, replies, buckets), "suffix-found", by=("kind",))
     common.discard(replies)
     common.free_shuffles(spark)
-    more = common.materialize(merged_windows(found.where("kind = 2").select("bucket", "block", "payload")), "suffix-windows")
-    common.discard(found, only="kind=2")
-    common.free_shuffles(spark)
-    found = found.where("kind < 2").select("kind", "block", "payload").unionByName(more.select(F.lit(3).alias("kind"), "block", "payload"))
-    return cut_texts(blocks, found, with_text)
+    replies = found.where("kind < 2").select("kind", "block", "payload")
+    for turn in range(2, 2 + min(TURNS, buckets)):
+        more = common.materialize(merged_windows(found.where(F.col("kind") == turn).select("bucket", "block", "payload")), "suffix-windows")
+        replies = replies.unionByName(more.select(F.lit(2).alias("kind"), "block", "payload"))
+        common.discard(found, only=f"kind={turn}")
+        common.free_shuffles(spark)
+    return cut_texts(blocks, replies, with_text)
