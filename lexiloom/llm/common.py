@@ -65,14 +65,21 @@ def discard(*tables: DataFrame, only: str = "") -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the plans, broadcast tables and shuffles that are no longer referenced, on both sides of the driver. Loops
+    of many plans call it each time, as the driver's heap otherwise grows up to its limit before Java looks for garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are no longer referenced."""
-    import gc
     import time
 
     for _ in range(2):  # the cleaner works in the background
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        release(spark)
         time.sleep(0.5)
 
 
@@ -135,6 +142,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(now)
         now = after
+        release(spark)
         if seen == state or not seen[0]:
             break
         state = seen

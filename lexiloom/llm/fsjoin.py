@@ -473,14 +473,17 @@ def _classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         known = common.materialize(pairs.join(rep("a"), "a").join(rep("b"), "b"), "fs-known")
         pairs = common.materialize(plausible(known, classes), "fs-pairs")
         common.discard(known)
+        common.release(spark)
         if pairs.isEmpty():  # no text has to be read again
             return pairs.select("a", "b")
         cut = segments(df, pairs, level, cuts)
         if repeats:
             cut = cut.dropDuplicates(["doc_id", "set_id", "fragment"])
         cut = common.materialize(cut, "fs-segments")
+        common.release(spark)
         found = common.materialize(linked(pairs, cut), "fs-links")
         common.discard(cut, pairs)
+        common.release(spark)
         return found
 
     tried = common.materialize(_led(lists.where("lead <> set_id").select(F.col("lead").alias("a"), F.col("set_id").alias("b"), F.col("n_lead").alias("n_a"), F.col("n").alias("n_b"), F.col("place_lead").alias("place_a"), F.col("place").alias("place_b"))), "fs-tried")
@@ -502,6 +505,7 @@ def _classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         joined = merged.where("vertex <> component").count()
         before, held = held, _open(held, merged)
         common.discard(before)
+        common.release(spark)
         if joined <= WORTH * n_open:
             break
     more = common.materialize(crossing(held, bound).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "fs-more")
